@@ -20,6 +20,11 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; lambdas would re-evaluate it per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold_width(c: Column) -> Column:
     """Map full-width ASCII forms to ASCII (the part of NFKC that headlines need)."""
     wide = "".join(chr(0xFF01 + i) for i in range(94)) + "　 "
@@ -83,7 +88,7 @@ def coverage_tokens(c: Column) -> Column:
 
 
 def normalized_headline(c: Column) -> Column:
-    return F.array_join(F.array_sort(tokens(c)), " ")
+    return F.array_join(F.sort_array(tokens(c)), " ")
 
 
 def search_tokens(c: Column) -> Column:
@@ -92,17 +97,23 @@ def search_tokens(c: Column) -> Column:
     return F.array_except(words, lit_array(dims.SEARCH_STOP_WORDS))
 
 
+def _run(words: Column, n: int):
+    return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+
 def word_grams(c: Column, longest: int) -> Column:
     """Distinct runs of 1..longest words, lower case, joined by one blank."""
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    runs = [words] + [
-        F.when(
-            F.size(words) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(2, longest + 1)
-    ]
-    return F.array_distinct(F.concat(*runs))
+    def grams(words: Column) -> Column:
+        runs = [words] + [
+            F.when(
+                F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), _run(words, n))
+            ).otherwise(F.array().cast("array<string>"))
+            for n in range(2, longest + 1)
+        ]
+        return F.array_distinct(F.concat(*runs))
+
+    words = F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return let(F.filter(words, lambda t: t != ""), grams)
 
 
 # --- cleaning -------------------------------------------------------------------------
