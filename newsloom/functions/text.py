@@ -91,6 +91,10 @@ def normalized_headline(c: Column) -> Column:
     return F.array_join(F.sort_array(tokens(c)), " ")
 
 
+def sorted_tokens(c: Column) -> Column:
+    return F.sort_array(tokens(c))
+
+
 def search_tokens(c: Column) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
     words = F.filter(words, lambda t: F.length(t) >= 4)
