@@ -48,6 +48,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
         F.format_string("a%08d", "doc_id").alias("id"),
         first.alias("title"),
         F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("description"),
+        F.format_string("https://www.%s.example/%s/n%d", "source", "lang", "n_chars").alias("url"),
         F.col("source").alias("publisher_name"),
         F.col("lang").alias("language"),
         "published_at", "feed_name", "user_id", "doc_id",

@@ -114,24 +114,24 @@ def sorted_articles(order: list[Column]) -> Column:
 def build_events(
     articles: DataFrame, as_of, lexicon: dims.Lexicon, country: str | None = None, top: int = 5,
     hours: int = sm.LINK_HOURS, block_rows: int = sm.BLOCK_ROWS, dense_rows: int = sm.DENSE_ROWS,
-    clusters=None,
+    scope: str | None = None,
 ) -> DataFrame:
     """AGG-1: articles to one scored event per cluster (unordered; see ``rank_events``).
 
-    ``country`` anchors all events to one identifier; without it they are GLOBAL. A
-    column ``scope_key`` in the input is not needed: cluster several countries in one go
-    with ``build_scoped_events``.
+    ``country`` anchors all events to one identifier; without it they are GLOBAL.
+    ``scope`` names a column of country identifiers instead: the articles of each country
+    are clustered on their own, all countries in one job. Ids must be unique per row.
     """
     at = ts(as_of)
     base = with_defaults(filter_event_titles(articles).filter(F.col("published_at").isNotNull()))
-    assigned, reports = clusters or cu.cluster_articles(base, lexicon, hours, block_rows, dense_rows)
+    assigned, reports = cu.cluster_articles(base, lexicon, hours, block_rows, dense_rows, scope)
     rows = with_publisher(
-        base.select("id", "title", "description", "image_url", "url", "publisher_name", "publisher_url")
+        base.select("id", (F.col(scope) if scope else F.lit(country or "GLOBAL")).alias("scope"), "title", "description", "image_url", "url", "publisher_name", "publisher_url")
     ).join(assigned.select("id", "published_at", "category", "report", "cluster_id"), "id")
     rows = cut(rows)
     stats = rows.groupBy("cluster_id").agg(
         F.count("*").alias("article_count"), F.min("published_at").alias("first_seen_at"),
-        F.max("published_at").alias("last_updated_at"),
+        F.max("published_at").alias("last_updated_at"), F.first("scope").alias("primary_country"),
     )
     reps = cu.representative_articles(rows.select("cluster_id", "report", "id", "published_at", "prominence"), reports)
     heads = cut(
@@ -156,7 +156,7 @@ def build_events(
     summaries = choose_summary(rows.select("cluster_id", "description", "published_at", "id"), heads, "cluster_id")
     n = F.col("article_count")
     window, rate = reporting(F.col("first_seen_at"), F.col("last_updated_at"), n)
-    primary = F.lit(country or "GLOBAL")
+    local = F.col("primary_country") != "GLOBAL"
     events = (
         heads.join(stats, "cluster_id").join(sources, "cluster_id").join(lists, "cluster_id").join(summaries, "cluster_id")
         .withColumns({
@@ -170,9 +170,9 @@ def build_events(
         F.concat(F.lit("live-event-"), tx.stable_id(F.lower("headline"))).alias("id"),
         "cluster_id", "headline", "summary", F.col("event_category").alias("category"),
         "importance_score", "importance_label",
-        F.lit("National" if country else "International").alias("geographic_scope"),
-        primary.alias("primary_country"),
-        (F.array(primary) if country else F.array().cast("array<string>")).alias("affected_countries"),
+        F.when(local, "National").otherwise("International").alias("geographic_scope"),
+        "primary_country",
+        F.when(local, F.array("primary_country")).otherwise(F.array().cast("array<string>")).alias("affected_countries"),
         "first_seen_at", "last_updated_at", "independent_source_count", "affected_country_count",
         "age_hours", "article_count", "coverage_window_hours", "articles_per_hour", "scoring_components", "articles",
     )

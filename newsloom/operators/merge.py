@@ -89,7 +89,7 @@ def merge_events(events: DataFrame, group: str, top: int = 5) -> DataFrame:
     age the minimum; countries are united without GLOBAL. Aggregates combine map-side.
     """
     canon = first_row(
-        events.select(group, "feed_ord", "id", "headline", "category", "geographic_scope", "primary_country", "generated_key"),
+        events.select(group, "feed_ord", "id", "headline", "category", "geographic_scope", "primary_country"),
         [group], [F.col("feed_ord")],
     ).drop("feed_ord")
     articles = events.select(group, F.explode("articles").alias("x")).select(group, "x.*")
@@ -164,7 +164,7 @@ def merge_event_feeds(events: DataFrame, scope: list[str] | None = None, same_id
     are judged on the original events; equal ids always fold.
     """
     scope = scope or []
-    events = cut(events.withColumn("event_key", F.col("feed_ord")).withColumn("generated_key", F.col("feed_ord")))
+    events = cut(events.withColumn("event_key", F.col("feed_ord")))
     pairs = same_occurrence_pairs(events, scope=scope)
     if same_id:
         w = Window.partitionBy(*scope, "id").orderBy("feed_ord")
@@ -175,7 +175,7 @@ def merge_event_feeds(events: DataFrame, scope: list[str] | None = None, same_id
     merged = merge_events(folded, "fold")
     if scope:
         merged = merged.join(folded.filter("fold = feed_ord").select("fold", *scope), "fold")
-    return merged.withColumnRenamed("fold", "feed_ord").drop("generated_key")
+    return merged.withColumnRenamed("fold", "feed_ord")
 
 
 # --- retention and country snapshots ------------------------------------------------------
