@@ -166,7 +166,7 @@ def build_events(
             "affected_country_count": F.lit(1),
         })
     )
-    return score_events(events).select(
+    events = score_events(events).select(
         F.concat(F.lit("live-event-"), tx.stable_id(F.lower("headline"))).alias("id"),
         "cluster_id", "headline", "summary", F.col("event_category").alias("category"),
         "importance_score", "importance_label",
@@ -176,3 +176,4 @@ def build_events(
         "first_seen_at", "last_updated_at", "independent_source_count", "affected_country_count",
         "age_hours", "article_count", "coverage_window_hours", "articles_per_hour", "scoring_components", "articles",
     )
+    return cut(events)
