@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import corpus as c, queries_base as base, queries_more  # noqa: F401
+from checks import corpus as c, queries_base as base, queries_geo, queries_more  # noqa: F401
 
 
 def _utc(fn):

@@ -213,11 +213,8 @@ def mentions(source: str, key: str, text: str, overrides: bool = True) -> str:
     for country, term in rows:
         flag = "" if term.isupper() and 2 <= len(term) <= 3 else "(?i)"
         rx = flag + "(^|[^\\p{L}\\p{N}])" + term + "([^\\p{L}\\p{N}]|$)"
-        parts.append((country, rx))
-    return (
-        f"(SELECT DISTINCT s.{key}, g.country FROM {source} s JOIN {values(parts, 'country, rx')} "
-        f"AS g(country, rx) ON regexp_matches(s.{text}, g.rx))"
-    ).replace("AS v(country, rx) AS g(country, rx)", "AS g(country, rx)")
+        parts.append(f"SELECT {key}, {q(country)} AS country FROM {source} WHERE regexp_matches({text}, {q(rx)})")
+    return "(" + " UNION ".join(parts) + ")"
 
 
 # --- JOIN-7 / CLUSTER-1 by comparing all pairs of distinct contents -------------------------
