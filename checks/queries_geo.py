@@ -288,11 +288,29 @@ def rss_search(spark, sf):
     return _landed_cols(sf_.read_rss_articles(spark, path, "search"))
 
 
+def _channel(batches):
+    """One RSS document per partition."""
+    import pandas as pd
+
+    line = lambda text: pd.DataFrame({"value": [text]})
+    yield line('<rss xmlns:News="https://feeds.example/news"><channel>')
+    yield from batches
+    yield line("</channel></rss>")
+
+
 @case("src_rss_redirect", _landed())
 def rss_redirect(spark, sf):
-    source = F.concat("publisher_name", F.lit(" on MSN")).alias("News:Source")
+    esc = lambda x: F.replace(F.replace(F.replace(_xml(x), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
     link = F.concat(F.lit("https://www.bing.com/news/apiclick.aspx?url="), F.url_encode("url"), F.lit("&c=1"))
-    return _landed_cols(sf_.read_rss_articles(spark, _rss(spark, sf, source, link=link), "redirect"))
+    date = F.concat(F.lit("Mon, "), F.date_format("published_at", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    item = tag("item", F.concat(
+        tag("title", esc(F.col("title"))), tag("link", esc(link)), tag("guid", F.col("id")), tag("pubDate", date),
+        tag("description", esc(F.col("description"))), tag("News:Source", F.concat("publisher_name", F.lit(" on MSN"))),
+    ))
+    path = landing(spark, "rss")
+    c.articles(spark, sf).select(item.alias("value")).mapInPandas(_channel, "value string").write.text(path)
+    return _landed_cols(sf_.read_rss_articles(spark, path, "redirect"))
 
 
 @case("src_article_json", f"""{ART}, n AS (SELECT {sql_strip('title')} AS title, url, 'src' || substr(publisher_name, 4) || '.example' AS publisher_name, epoch_us(date_trunc('second', published_at)) AS published_at_us FROM art WHERE language = 'en')

@@ -8,7 +8,7 @@ from checks import corpus as c, sql as s
 from checks.queries_base import ART, _ratings, case, us
 from newsloom.functions import text as tx
 from newsloom.operators import classify as cl, countries as co, events as ev, feeds as fd, grouping as gr, merge as mg, serving as sv
-from newsloom.session import ts
+from newsloom.session import cut, ts
 
 FULL = "txt AS (SELECT id, concat_ws(' ', title, description) AS text, title, country_name, feed_name FROM art)"
 
@@ -405,41 +405,84 @@ def geography(spark, sf):
 
 
 def _event_feed(spark, sf):
-    """Built events as a feed in a fixed order."""
-    e = c.built(spark, sf)
-    return c.once("event_feed", spark, sf, lambda: e.orderBy("cluster_id").withColumn("feed_ord", F.monotonically_increasing_id()))
+    """Every article as a one-article event, in the order of its document."""
+    a = ev.with_publisher(cl.classify_headlines(c.articles(spark, sf), c.LEX)).withColumns({
+        "headline": F.col("title"), "image_url": F.lit(None).cast("string"), "publisher_url": F.lit(None).cast("string"),
+    })
+    e = a.select(
+        F.concat(F.lit("live-event-"), tx.stable_id(F.lower("title"))).alias("id"), F.col("doc_id").alias("feed_ord"), "headline", "category",
+        F.col("description").alias("summary"), F.array(ev.article_struct()).alias("articles"), "feed_name", "country_name",
+        F.col("published_at").alias("first_seen_at"), F.col("published_at").alias("last_updated_at"),
+        F.lit(1).alias("independent_source_count"), F.lit(1).alias("affected_country_count"), F.lit(1).alias("article_count"),
+        F.lit(0.0).alias("coverage_window_hours"), F.lit(0.0).alias("articles_per_hour"),
+        ev.hours_between(ts(c.AS_OF), F.col("published_at")).alias("age_hours"),
+        F.lit("GLOBAL").alias("primary_country"), F.lit("International").alias("geographic_scope"), F.array().cast("array<string>").alias("affected_countries"),
+    )
+    return cut(ev.score_events(e))
+
+
+def _same_sql(order: str = "doc_id", scope: str = "''") -> str:
+    """CTEs ev (one-article events), pair(a, b): positions of events of one occurrence."""
+    phr = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+    step = s.classify(s.tokens("art", "title", "tk"), "title", "tk", "category")
+    return f"""ev AS MATERIALIZED (SELECT *, {order} AS o, {scope} AS sc, list_sort(tk) AS full_t, {s.identity('tk')} AS t, 'live-event-' || {s.stable_id('lower(title)')} AS eid FROM {step}),
+ po AS MATERIALIZED (SELECT o, sc, unnest(t) AS tok FROM ev),
+ me AS MATERIALIZED (SELECT a.o AS a, b.o AS b, count(*) AS n, count(*) FILTER (length(a.tok) >= 7) AS longs FROM po a JOIN po b ON a.tok = b.tok AND a.sc = b.sc AND a.o < b.o GROUP BY ALL HAVING count(*) >= 2),
+ wi AS (SELECT a, b, n, longs, {s.containment('n', 'x.t', 'y.t')} AS cont, list_has_any({phr.format('x.t')}, {phr.format('y.t')}) AS phrase,
+   x.category = y.category OR len(list_intersect(x.full_t, y.full_t)) >= 4 AS fits, abs(epoch_us(x.published_at) - epoch_us(y.published_at)) <= 345600000000 AS near
+   FROM me JOIN ev x ON x.o = a JOIN ev y ON y.o = b),
+ pair AS MATERIALIZED (SELECT a, b FROM wi WHERE near AND fits AND ((n >= 3 AND (phrase OR cont >= 0.38)) OR (longs >= 2 AND cont >= 0.3) OR (n >= 5 AND cont >= 0.24))
+   UNION SELECT a, b FROM (SELECT lag(o) OVER (PARTITION BY sc, full_t ORDER BY o) AS a, o AS b FROM ev WHERE len(full_t) > 0) WHERE a IS NOT NULL)"""
+
+
+def _fold_sql(order: str = "doc_id", scope: str = "''") -> str:
+    """_same_sql + fold(o, f) and merged(f, eid, ...): the folded feed."""
+    return f"""{_same_sql(order, scope)},
+ eg AS MATERIALIZED (SELECT * FROM pair UNION SELECT a, b FROM (SELECT lag(o) OVER (PARTITION BY sc, eid ORDER BY o) AS a, o AS b FROM ev) WHERE a IS NOT NULL),
+ sd AS (SELECT o FROM ev WHERE o NOT IN (SELECT b FROM eg)),
+ re AS (SELECT o AS f, o AS n FROM sd UNION SELECT re.f, eg.b FROM re JOIN eg ON eg.a = re.n),
+ fold AS MATERIALIZED (SELECT n AS o, min(f) AS f FROM re GROUP BY n),
+ lp AS (SELECT f, publisher_name, max(published_at) AS p FROM ev JOIN fold USING (o) GROUP BY ALL),
+ sp AS (SELECT f, count(*) AS n, min(p) AS lo, max(p) AS hi FROM lp GROUP BY 1),
+ ag AS (SELECT f, min({s.hours(s.AS_OF, 'published_at')}) AS age_hours, max(published_at) AS last_updated_at, string_agg(title, ' ') AS titles FROM ev JOIN fold USING (o) GROUP BY 1),
+ mm AS (SELECT f, ev.eid, ev.sc, titles, last_updated_at, age_hours, n AS independent_source_count, n AS article_count, 1 AS affected_country_count,
+   CASE WHEN n <= 1 THEN 0.0::DOUBLE ELSE (n - 1) / greatest(1.0::DOUBLE / 60, {s.hours('hi', 'lo')}) END AS articles_per_hour FROM ag JOIN sp USING (f) JOIN ev ON ev.o = f),
+ merged AS (SELECT * FROM {s.scored('mm')})"""
+
+
+@case("join_same_occurrence", f"{ART}, {_same_sql()} SELECT a AS left_doc, b AS right_doc FROM pair")
+def same_occurrence(spark, sf):
+    return mg.same_occurrence_pairs(_event_feed(spark, sf), key="feed_ord").select(F.col("a").alias("left_doc"), F.col("b").alias("right_doc"))
 
 
-@case("join_same_occurrence")
-def same_occurrence(spark, sf):
-    e = _event_feed(spark, sf)
-    p = mg.same_occurrence_pairs(e, key="feed_ord")
-    n = e.select("feed_ord", "cluster_id")
-    return p.join(n.select(F.col("feed_ord").alias("a"), F.col("cluster_id").alias("left_id")), "a").join(
-        n.select(F.col("feed_ord").alias("b"), F.col("cluster_id").alias("right_id")), "b"
-    ).select("left_id", "right_id")
+_REC = ART.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@case("dedup_event_feeds")
+@case("dedup_event_feeds", f"{_REC}, {_fold_sql()} SELECT f AS feed_ord, eid AS id, importance_score, independent_source_count, article_count FROM merged")
 def event_feeds(spark, sf):
     m = mg.merge_event_feeds(_event_feed(spark, sf))
-    return m.select("id", "headline", "importance_score", "independent_source_count", "article_count")
+    return m.select("feed_ord", "id", "importance_score", "independent_source_count", "article_count")
 
 
-@case("dedup_event_registry")
+@case("dedup_event_registry", f"""{_REC}, {_fold_sql("(CASE WHEN feed_name = 'view' THEN 0 ELSE (SELECT max(doc_id) + 1 FROM art WHERE feed_name = 'view') END) + doc_id")}
+ SELECT eid AS id, importance_score, article_count FROM merged QUALIFY row_number() OVER (PARTITION BY eid ORDER BY f) = 1""")
 def registry(spark, sf):
     e = _event_feed(spark, sf)
-    g = e.filter("importance_score >= 50")
-    r = mg.canonical_event_registry(g, e.filter("importance_score < 50"))
-    return r.select("id", "headline", "importance_score", "article_count")
+    r = mg.canonical_event_registry(e.filter("feed_name = 'view'"), e.filter("feed_name <> 'view'"))
+    return r.select("id", "importance_score", "article_count")
+
+
+_SNAP_AT = "2024-01-09 00:00:00"
 
 
-@case("dedup_country_snapshots")
+@case("dedup_country_snapshots", f"""{_REC}, {_fold_sql("(CASE WHEN feed_name = 'view' THEN 0 ELSE (SELECT max(doc_id) + 1 FROM art WHERE feed_name = 'view') END) + doc_id", "country_name")}
+ SELECT sc AS country_name, eid AS id, importance_score, article_count FROM merged WHERE last_updated_at >= TIMESTAMP '{_SNAP_AT}' - INTERVAL 7 DAY
+   AND sc <> 'NATION_3'""")
 def snapshots(spark, sf):
-    rows = c.once("country_feed_events", spark, sf, lambda: _event_feed(spark, sf).withColumn(
-        "country_name", F.format_string("NATION_%d", F.pmod(F.xxhash64("category"), F.lit(25)))))
+    """Countries with unambiguous names; flt_ambiguous_events covers the others."""
+    e = _event_feed(spark, sf).filter("country_name <> 'NATION_3'")
     over = spark.createDataFrame(c.OVERRIDES, "country string, term string")
-    m = mg.merge_country_snapshots(rows.filter("importance_score >= 40"), rows.filter("importance_score < 40"), c.AS_OF, over, c.gazetteer(spark), c.LONGEST)
+    m = mg.merge_country_snapshots(e.filter("feed_name = 'view'"), e.filter("feed_name <> 'view'"), _SNAP_AT, over, c.gazetteer(spark), c.LONGEST)
     return m.select("country_name", "id", "importance_score", "article_count")
 
 
