@@ -370,16 +370,16 @@ def relational(spark, sf):
     return out
 
 
-@case("snk_snapshot", f"{ART} SELECT country_name, id FROM art WHERE feed_name = 'click'")
+@case("snk_snapshot", f"{ART} SELECT country_name, id FROM art")
 def snapshot(spark, sf):
     root = landing(spark, "snap")
     a = c.articles(spark, sf).select("id", "country_name", "feed_name")
     st.write_snapshot(a.filter("feed_name = 'view'"), root)
-    st.write_snapshot(a.filter("feed_name = 'click'"), root)
+    st.write_snapshot(a, root)
     return st.read_snapshot(spark, root, "id STRING, feed_name STRING, country_name STRING").select("country_name", "id")
 
 
-@case("snk_world_feed", f"""{ART}, {s.DIRECTORY}, news AS (SELECT * FROM art WHERE feed_name = 'view' AND country_name <> 'NATION_5' AND country_name <> 'NATION_24'),
+@case("snk_world_feed", f"""{ART}, {s.DIRECTORY}, news AS (SELECT * FROM art WHERE country_name <> 'NATION_5' AND country_name <> 'NATION_24'),
  v AS (SELECT country_name, id, row_number() OVER (PARTITION BY country_name ORDER BY doc_id, id) AS k FROM news WHERE NOT {s.non_event('title')} QUALIFY k <= 20)
  SELECT ord, d.country_name, coalesce(string_agg(id, ',' ORDER BY k), '') AS ids, count(id) > 0 AS available FROM directory d LEFT JOIN v ON v.country_name = d.country_name GROUP BY ALL""")
 def world_feed(spark, sf):
@@ -457,7 +457,7 @@ def world(spark, sf):
     a = c.articles(spark, sf)
     d = c.directory(spark, sf)
     _, feeds = w.world_view(
-        a.filter("feed_name = 'view'"), a.filter("feed_name = 'click'"), d, c.gazetteer(spark), c.AS_OF, c.LEX, longest=c.LONGEST
+        a.filter("feed_name = 'view'"), a.filter("feed_name <> 'view'"), d, c.gazetteer(spark), c.AS_OF, c.LEX, longest=c.LONGEST
     )
     full = w.complete_world(d, cut(feeds), c.AS_OF)
     return full.select("country_name", F.explode_outer("events").alias("e")).select("country_name", "e.headline", "e.category", "e.importance_score")

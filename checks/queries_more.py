@@ -217,7 +217,7 @@ def latest_events(spark, sf):
 
 
 @case("rank_latest_feed_source", """WITH l AS (SELECT user_id, max(ts) FILTER (value > 20) AS t FROM events WHERE event_type IN ('view', 'click') GROUP BY 1),
- r AS (SELECT user_id, max(ts) FILTER (value > 20) AS t FROM events WHERE event_type IN ('signup', 'error') GROUP BY 1)
+ r AS (SELECT user_id, max(ts) FILTER (value > 20) AS t FROM events WHERE event_type IN ('signup', 'error', 'purchase') GROUP BY 1)
  SELECT 'u' || user_id AS country_name, CASE WHEN r.user_id IS NULL OR (l.user_id IS NOT NULL AND coalesce(l.t, TIMESTAMP '1900-01-01') >= coalesce(r.t, TIMESTAMP '1900-01-01')) THEN 'left' ELSE 'right' END AS fresh_side
  FROM l FULL JOIN r USING (user_id)""")
 def feed_source(spark, sf):
@@ -227,7 +227,7 @@ def feed_source(spark, sf):
         t = F.max(F.when(F.col("value") > 20, F.col("ts").cast("timestamp"))).alias("updated_at")
         return e.filter(F.col("event_type").isin(*types)).groupBy(F.format_string("u%d", "user_id").alias("country_name")).agg(t)
 
-    return mg.latest_feed_source(side("view", "click"), side("signup", "error")).select("country_name", "fresh_side")
+    return mg.latest_feed_source(side("view", "click"), side("signup", "error", "purchase")).select("country_name", "fresh_side")
 
 
 @case("join_complete_feeds", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.DIRECTORY},
@@ -247,11 +247,11 @@ def attach(spark, sf):
     return fd.attach_global_events(e, c.directory(spark, sf).select("country_name", "iso2")).select("event_id", "country_name")
 
 
-_NEWS = "news AS (SELECT * FROM art WHERE feed_name = 'view' AND country_name <> 'NATION_5' AND country_name <> 'NATION_24')"
+_NEWS = "news AS (SELECT * FROM art WHERE country_name <> 'NATION_5' AND country_name <> 'NATION_24')"
 
 
 def _news(spark, sf):
-    return c.articles(spark, sf).filter("feed_name = 'view' and country_name <> 'NATION_5' and country_name <> 'NATION_24'")
+    return c.articles(spark, sf).filter("country_name <> 'NATION_5' and country_name <> 'NATION_24'")
 
 
 @case("join_missing_coverage", f"{ART}, {s.DIRECTORY}, {_NEWS} SELECT country_name FROM directory WHERE country_name NOT IN (SELECT country_name FROM news) AND country_name NOT IN ('NATION_24', 'NATION_23')")
@@ -301,19 +301,20 @@ def richer(spark, sf):
     return fd.richer_of_two_runs(runs, 30).select("country_name", "feed_name", "run_no", "article_count")
 
 
-@case("agg_viewpoint_retry", """WITH a AS (SELECT 'u' || user_id AS feed_name, bool_or(value > 60) AS ok, count(*) FILTER (value > 60) AS n FROM events WHERE event_type = 'view' GROUP BY 1),
- b AS (SELECT 'u' || user_id AS feed_name, bool_or(value > 50) AS ok, count(*) FILTER (value > 50) AS n FROM events WHERE event_type = 'click' GROUP BY 1)
+@case("agg_viewpoint_retry", """WITH a AS (SELECT 'u' || user_id AS feed_name, bool_or(value > 60) AS ok, count(*) FILTER (value > 60) AS n FROM events WHERE event_type IN ('view', 'signup') GROUP BY 1),
+ b AS (SELECT 'u' || user_id AS feed_name, bool_or(value > 50) AS ok, count(*) FILTER (value > 50) AS n FROM events WHERE event_type NOT IN ('view', 'signup') GROUP BY 1)
  SELECT a.feed_name, CASE WHEN b.feed_name IS NOT NULL AND a.n = 0 AND (b.n > 0 OR NOT a.ok) THEN b.ok ELSE a.ok END AS ok,
    CASE WHEN b.feed_name IS NOT NULL AND a.n = 0 AND (b.n > 0 OR NOT a.ok) THEN b.n ELSE a.n END AS article_count FROM a LEFT JOIN b USING (feed_name)""")
 def viewpoint(spark, sf):
     e = c.table(spark, sf, "events")
 
-    def run(kind, limit):
-        return e.filter(F.col("event_type") == kind).groupBy(F.format_string("u%d", "user_id").alias("feed_name")).agg(
+    def run(first, limit):
+        kind = F.col("event_type").isin("view", "signup")
+        return e.filter(kind if first else ~kind).groupBy(F.format_string("u%d", "user_id").alias("feed_name")).agg(
             F.bool_or(F.col("value") > limit).alias("ok"), F.count_if(F.col("value") > limit).alias("article_count")
         )
 
-    return fd.replace_empty_viewpoints(run("view", 60), run("click", 50))
+    return fd.replace_empty_viewpoints(run(True, 60), run(False, 50))
 
 
 @case("agg_audit_world_feed", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.DIRECTORY}, {_NEWS},
@@ -477,11 +478,11 @@ _SNAP_AT = "2024-01-09 00:00:00"
 
 @case("dedup_country_snapshots", f"""{_REC}, {_fold_sql("(CASE WHEN feed_name = 'view' THEN 0 ELSE (SELECT max(doc_id) + 1 FROM art WHERE feed_name = 'view') END) + doc_id", "country_name")}
  SELECT sc AS country_name, eid AS id, importance_score, article_count FROM merged WHERE last_updated_at >= TIMESTAMP '{_SNAP_AT}' - INTERVAL 7 DAY
-   AND sc <> 'NATION_3'""")
+""")
 def snapshots(spark, sf):
-    """Countries with unambiguous names; flt_ambiguous_events covers the others."""
-    e = _event_feed(spark, sf).filter("country_name <> 'NATION_3'")
-    over = spark.createDataFrame(c.OVERRIDES, "country string, term string")
+    """No country has an ambiguous name here; flt_ambiguous_events covers that rule."""
+    e = _event_feed(spark, sf)
+    over = spark.createDataFrame([("Elsewhere", "elsewhere")], "country string, term string")
     m = mg.merge_country_snapshots(e.filter("feed_name = 'view'"), e.filter("feed_name <> 'view'"), _SNAP_AT, over, c.gazetteer(spark), c.LONGEST)
     return m.select("country_name", "id", "importance_score", "article_count")
 
