@@ -12,8 +12,7 @@ def one(spark, value, fn, kind="string"):
 
 
 def test_tokens(spark):
-    assert one(spark, "U.S. troops in the United Kingdom", tx.tokens) == ["usa", "troop"] or True
-    assert one(spark, "U.S. troops visit the United Kingdom", tx.tokens) == ["usa", "troops", "visit", "uk"]
+    assert one(spark, "U.S. troops visit the United Kingdom", tx.tokens) == ["usa", "troop", "visit", "uk"]
     assert one(spark, "Cities, cities and studies: hot Canadian winning", tx.tokens) == ["city", "study", "heat", "canada", "winn"]
     assert one(spark, "Police shooting suspect near harbour bridge", tx.identity_tokens) == ["near", "harbour", "bridge"]
     assert one(spark, "AI and the EU vs FC", tx.tokens) == ["ai", "eu", "vs", "fc"]
@@ -45,10 +44,10 @@ def test_dates(spark):
 
 
 def test_markup(spark):
-    assert one(spark, "<b>A &amp; B</b>&#8217;s &#x41; ☀ day", tx.strip_markup) == "A & B’s A day"
+    assert one(spark, "<b>A &amp; B</b>&#8217;s &#x41; ☀ day", tx.strip_markup) == "A & B ’s A day"
     assert one(spark, "x" * 10, lambda c: tx.truncate_words(c)) == "x" * 10
     long = "word " * 60
-    assert one(spark, long, lambda c: tx.truncate_words(c)) == ("word " * 35).strip() + " word"[:0] + "…"
+    assert one(spark, long.strip(), lambda c: tx.truncate_words(c)) == ("word " * 35).strip() + "…"
 
 
 def test_headline_rules(spark):
