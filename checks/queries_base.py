@@ -286,9 +286,9 @@ _PAIR_TOTAL = """sims AS (SELECT ra, rb FROM sim WHERE similarity > 0 UNION ALL
    ORDER BY d.links DESC, {_PROM} DESC, a.published_at DESC, a.id) AS k
    FROM assigned a JOIN deg d USING (cluster_id, r) JOIN art t ON t.id = a.id) WHERE k = 1""")
 def representative(spark, sf):
-    assigned, reports = cu.cluster_articles(c.articles(spark, sf), c.LEX)
+    assigned, reports, similar = cu.cluster_articles(c.articles(spark, sf), c.LEX)
     names = c.articles(spark, sf).select("id", pub.prominence_of(F.col("publisher_name"), c.PROMINENCE).alias("prominence"))
-    return cu.representative_articles(assigned.join(names, "id"), reports)
+    return cu.representative_articles(assigned.join(names, "id"), reports, similar)
 
 
 _EVENT_ROWS = f"""ev0 AS (SELECT * FROM art WHERE NOT {s.non_event('title')})"""

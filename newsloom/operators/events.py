@@ -124,7 +124,7 @@ def build_events(
     """
     at = ts(as_of)
     base = with_defaults(filter_event_titles(articles).filter(F.col("published_at").isNotNull()))
-    assigned, reports = cu.cluster_articles(base, lexicon, hours, block_rows, dense_rows, scope)
+    assigned, reports, similar = cu.cluster_articles(base, lexicon, hours, block_rows, dense_rows, scope)
     rows = with_publisher(
         base.select("id", (F.col(scope) if scope else F.lit(country or "GLOBAL")).alias("scope"), "title", "description", "image_url", "url", "publisher_name", "publisher_url")
     ).join(assigned.select("id", "published_at", "category", "report", "cluster_id"), "id")
@@ -133,7 +133,7 @@ def build_events(
         F.count("*").alias("article_count"), F.min("published_at").alias("first_seen_at"),
         F.max("published_at").alias("last_updated_at"), F.first("scope").alias("primary_country"),
     )
-    reps = cu.representative_articles(rows.select("cluster_id", "report", "id", "published_at", "prominence"), reports)
+    reps = cu.representative_articles(rows.select("cluster_id", "report", "id", "published_at", "prominence"), reports, similar, hours)
     heads = cut(
         reps.join(rows.select("id", F.col("title").alias("headline"), F.col("category").alias("headline_category")), "id")
         .select("cluster_id", "headline", "headline_category")

@@ -105,7 +105,7 @@ def test_clusters_match_sequential_scan(spark, seed, block, dense):
         first[key] = min(first.get(key, r.id), r.id)
     order = sorted(analysed, key=lambda r: (-r.t, first[(r.content, r.copy, r.t)], r.id))
     want, clusters = sequential([(r.id, (r.title_tokens, words[r.id], r.category, r.t)) for r in order])
-    assigned, reports = cu.cluster_articles(df, LEX, block_rows=block, dense_rows=dense)
+    assigned, reports, similar = cu.cluster_articles(df, LEX, block_rows=block, dense_rows=dense)
     assert {r.id: r.cluster_id for r in assigned.collect()} == want
     # representatives: most similar mates, then prominence, then recency
     prom = {r.id: 50 + int(r.id[1:]) % 3 for r in analysed}
@@ -114,8 +114,9 @@ def test_clusters_match_sequential_scan(spark, seed, block, dense):
         links = {i: sum(1 for j, y in members if j != i and _similar(x, y) > 0) for i, x in members}
         best[members[0][0]] = min(members, key=lambda m: (-links[m[0]], -prom[m[0]], -m[1][3], m[0]))[0]
     ranked = assigned.withColumn("prominence", F.lit(50) + F.substring("id", 2, 3).cast("int") % 3)
-    got = {r.cluster_id: r.id for r in cu.representative_articles(ranked, reports, batch=2, salt_rows=3).collect()}
-    assert got == best
+    for known in (None, similar):
+        got = {r.cluster_id: r.id for r in cu.representative_articles(ranked, reports, known, batch=2, salt_rows=3).collect()}
+        assert got == best
 
 
 def test_hot_copies_stay_linear(spark):
