@@ -52,3 +52,14 @@ def sliced_row_number(df: DataFrame, keys: list[str], slice_: Column, order: lis
         .withColumn(name, (F.col("_in") + F.col("_before")).cast("long"))
         .drop("_slice", "_in", "_before", "_s", *[f"_k{i}" for i in range(len(keys))])
     )
+
+
+def consecutive(df: DataFrame, keys: list[str], pos: str, slice_rows: int = 4096) -> DataFrame:
+    """(a, b): neighbouring ``pos`` values of each key, found per slice and across slices."""
+    rows = df.select(*keys, pos, F.floor(F.col(pos) / slice_rows).alias("_s"))
+    inside = Window.partitionBy(*keys, "_s").orderBy(pos)
+    within = rows.select(F.lag(pos).over(inside).alias("a"), F.col(pos).alias("b"))
+    slices = rows.groupBy(*keys, "_s").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
+    order = Window.partitionBy(*keys).orderBy("_s")
+    across = slices.select(F.lag("_last").over(order).alias("a"), F.col("_first").alias("b"))
+    return within.unionByName(across).filter("a is not null")

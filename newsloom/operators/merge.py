@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import dims
 from newsloom.functions import text as tx
 from newsloom.operators import cluster as cu, events as ev, publishers as pub, similarity as sm
 from newsloom.operators.countries import event_text, match_countries, regeo
-from newsloom.operators.grouping import first_row, highest, newest
+from newsloom.operators.grouping import consecutive, first_row, highest, newest
 from newsloom.session import cut, ts
 
 SAME_HOURS = 96
@@ -32,7 +32,9 @@ def same_occurrence_pairs(
 ) -> DataFrame:
     """JOIN-8: (a, b) with a < b, pairs of events that describe one occurrence.
 
-    Equal token sets match at any distance; otherwise some headline pair has to be
+    ``key`` is the numeric position of an event.
+
+    Equal token sets match at any distance (given as a chain of neighbours); otherwise some headline pair has to be
     similar within 96 hours, in one category or with four common headline tokens.
     ``scope`` columns restrict pairs to equal values (for instance one country).
     """
@@ -41,10 +43,7 @@ def same_occurrence_pairs(
         events.select(key, *scope, "category", "last_updated_at", "headline", "articles", tx.sorted_tokens(F.col("headline")).alias("tokens"))
     )
     # Equal token sets: chain the members of a group instead of pairing all of them.
-    group = Window.partitionBy(*scope, "tokens").orderBy(key)
-    equal = (
-        base.filter(F.size("tokens") > 0).select(F.lag(key).over(group).alias("a"), F.col(key).alias("b")).filter("a is not null")
-    )
+    equal = consecutive(base.filter(F.size("tokens") > 0), [*scope, "tokens"], key)
     heads = _headlines(base, key)
     # A distinct token list is a report in the sense of JOIN-7, without context.
     lists = heads.filter(F.size("t") >= 2).select("t").distinct()
@@ -167,10 +166,7 @@ def merge_event_feeds(events: DataFrame, scope: list[str] | None = None, same_id
     events = cut(events.withColumn("event_key", F.col("feed_ord")))
     pairs = same_occurrence_pairs(events, scope=scope)
     if same_id:
-        w = Window.partitionBy(*scope, "id").orderBy("feed_ord")
-        pairs = pairs.unionByName(
-            events.select(F.lag("event_key").over(w).alias("a"), F.col("event_key").alias("b")).filter("a is not null")
-        ).distinct()
+        pairs = pairs.unionByName(consecutive(events, [*scope, "id"], "event_key")).distinct()
     folded = cut(_first_fit_groups(events, pairs, "event_key"))
     merged = merge_events(folded, "fold")
     if scope:

@@ -80,7 +80,7 @@ def assemble_event_documents(events: DataFrame, bridge: DataFrame, articles: Dat
         F.struct("source_id", "publisher_name", "source_url", "prominence_score").alias("source"),
     )
     nested = (
-        articles.join(F.broadcast(sources), "source_id").groupBy("event_id")
+        articles.join(sources, "source_id").groupBy("event_id")
         .agg(F.sort_array(F.collect_list(item), asc=False).alias("articles"))
     )
     out = events.join(codes, "event_id", "left").join(nested, "event_id", "left")
