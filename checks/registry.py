@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.session import SETTINGS
 from checks import corpus as c, queries_base as base, queries_geo, queries_more  # noqa: F401
 
 
-def _utc(fn):
+def apply_settings(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
+def _configured(fn):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        apply_settings(spark)
         return fn(spark, sf)
 
     return run
@@ -20,7 +26,7 @@ def _all():
 
 
 def queries():
-    return {name: _utc(fn) for name, fn in _all()[0].items()}
+    return {name: _configured(fn) for name, fn in _all()[0].items()}
 
 
 def oracle_sql():
@@ -31,7 +37,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     from newsloom.operators.events import build_events
     from newsloom.operators.serving import rank_events
 
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    apply_settings(spark)
     from pyspark.sql import functions as F
 
     events = build_events(c.articles(spark, sf), c.AS_OF, c.LEX)
