@@ -82,7 +82,7 @@ def identity(tok: str) -> str:
     return f"list_filter({tok}, lambda g: NOT list_contains({lst(dims.GENERIC_TOKENS)}, g))"
 
 
-def score_list(text: str, toks: str, per_text: bool = True) -> dict[str, str]:
+def score_list(text: str, toks: str) -> dict[str, str]:
     """category -> points expression."""
     out = {}
     for category, terms in c.LEXICON.items():

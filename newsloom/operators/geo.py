@@ -252,7 +252,7 @@ def strongest_country_links(
 
 
 def event_link_paths(links: DataFrame, steps: int = 36) -> DataFrame:
-    """GRAPH-1: a quadratic curve of ``steps`` + 1 points per link, bent by hemisphere."""
+    """GRAPH-1: a quadratic curve of ``steps`` + 1 points per link, bent away from the equator."""
     x0, y0, x1, y1 = F.col("from_lon"), F.col("from_lat"), F.col("to_lon"), F.col("to_lat")
     dx, dy, mid = x1 - x0, y1 - y0, (y0 + y1) / 2
     scaled = dx * F.cos(mid * (math.pi / 180))
