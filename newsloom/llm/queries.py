@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bitpack, decontaminate, hyperminhash, langid, packing, secrets, toxicity
+from newsloom.llm import ann, bitpack, chat, decontaminate, hyperminhash, langid, ngram_lm, packing, secrets, toxicity
 from newsloom.llm.runtime import id_crc, read
 
 
@@ -21,10 +21,21 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(read(spark, sf_dir, "documents"), id_crc() % 7 != 2)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], table.schema)
+    return chat.round_trip(table.unionByName(own))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), id_crc() % 5 != 0)
 
@@ -34,6 +45,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -47,7 +62,7 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op3_secrets, op5_toxicity, op6_langid, op8_packing, op9_bitpack, op10_hyperminhash]
+    found = [op1_decontaminate, op2_ngram_lm, op3_secrets, op4_chat, op5_toxicity, op6_langid, op7_ann, op8_packing, op9_bitpack, op10_hyperminhash]
     return {f.__name__: f for f in found}
 
 
