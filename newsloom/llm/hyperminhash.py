@@ -44,7 +44,7 @@ ERRORS = 5
 LEAST_BANDS = 3
 SPARSE = 32
 SMALL_BAND = 12
-BLOCK = 256
+BLOCK = 1024
 PAIRS_PER_PLACE = 4
 MEMBERS_PER_SLICE = 64
 
@@ -143,7 +143,7 @@ def _describe(threshold: float):
                         found[i].append({"bits": b, "registers": regs.tobytes()})
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n), pa.array(names, pa.binary()), pa.array(list(found.values()), _SKETCH)],
-                names=["doc_id", "n_shingles", "class", "sketches"],
+                names=["doc_id", "n_shingles", "mark", "sketches"],
             )
 
     return describe
@@ -159,10 +159,7 @@ def _bands(batches):
             part = batch.slice(at, 512)
             keys = band_keys(_rows_of(part.column("registers")), part.column("bits").to_numpy())
             row, band = np.nonzero(keys)
-            key = keys[row, band]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), part.column("class").take(pa.array(row)), part.column("bits").take(pa.array(row))], names=["band", "class", "bits"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), part.column("class").take(pa.array(row))], names=["band", "class"])
 
 
 def _plausible(threshold: float):
@@ -181,12 +178,12 @@ def _block(threshold: float):
     def pairs(key, table):
         """Two slices of one large band: pairs of different labels that are plausible, each in its first common band only."""
         band, left, right = (k.as_py() for k in key)
-        names, labels = table["class"].to_pylist(), np.array(table["label"].to_pylist(), dtype=object)
-        n, bits, slot = (table[c].to_numpy() for c in ("n_shingles", "bits", "slice"))
-        regs = np.frombuffer(b"".join(table["registers"].to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        names, label, n, bits, slot = (table[c].to_numpy() for c in ("class", "label", "n_shingles", "bits", "slice"))
+        regs = _rows_of(table["registers"])
         keys = band_keys(regs, bits)
-        _, label = np.unique(labels.astype("S32"), return_inverse=True)
         here = np.array([band], dtype=np.int64).view(np.uint64)[0]
+        members = np.flatnonzero((keys == here).any(axis=1))  # a class near a border of levels has two sketches
+        names, label, n, bits, slot, regs, keys = (x[members] for x in (names, label, n, bits, slot, regs, keys))
         found_a, found_b = [], []
         other = np.flatnonzero(slot == right)
         for i in np.flatnonzero(slot == left):
@@ -201,8 +198,8 @@ def _block(threshold: float):
             if len(with_i):
                 good = near_enough(np.broadcast_to(regs[i], (len(with_i), REGISTERS)), regs[with_i], np.full(len(with_i), n[i]), n[with_i], bits[with_i], threshold)
                 found_a += [names[i]] * int(good.sum())
-                found_b += [names[j] for j in with_i[good]]
-        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
+                found_b += names[with_i[good]].tolist()
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return pairs
 
@@ -215,8 +212,8 @@ def _confirm(percent: int):
         for want_hub in (True, False):
             rows = table.filter(pa.compute.equal(table["hub"], want_hub)) if table.num_rows else table
             for batch in slices(rows.to_batches()):
-                for name, values in zip(batch.column("class").to_pylist(), shingle_sets(batch.column("text")), strict=True):
-                    if not len(values) or fingerprint(values, len(values)) != name:
+                for name, mark, values in zip(batch.column("class").to_pylist(), batch.column("mark").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+                    if not len(values) or fingerprint(values, len(values)) != mark:
                         continue  # another text under the same doc_id
                     if want_hub:
                         base = values
@@ -228,7 +225,7 @@ def _confirm(percent: int):
                         found.append(name)
                 if want_hub and base is not None:
                     break
-        return pa.table({"a": pa.array([hub] * len(found), pa.binary()), "b": pa.array(found, pa.binary())})
+        return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
     return check
 
@@ -238,13 +235,15 @@ def _sketches(classes: DataFrame) -> DataFrame:
 
 
 def _near(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, bits), those whose sizes and registers allow the threshold."""
+    """Of pairs (a, b), those whose sizes and registers allow the threshold."""
     described = _sketches(classes).select("class", "bits", "n_shingles", "registers")
     sized = classes.select("class", "n_shingles")
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    pairs = pairs.join(sized.toDF("a", "n_a"), "a").join(sized.toDF("b", "n_b"), "b").where(fits).drop("n_a", "n_b")
+    # the smaller set's own level; the larger one has registers there as well
+    bits = F.greatest(F.lit(LOWEST_BITS), F.least(F.lit(HIGHEST_BITS), F.floor(F.log2(F.least("n_a", "n_b"))).cast("int") - 1))
+    pairs = pairs.join(sized.toDF("a", "n_a"), "a").join(sized.toDF("b", "n_b"), "b").where(fits).withColumn("bits", bits).drop("n_a", "n_b")
     rows = pairs.join(described.toDF("a", "bits", "n_a", "regs_a"), ["a", "bits"]).join(described.toDF("b", "bits", "n_b", "regs_b"), ["b", "bits"])
-    return rows.mapInArrow(_plausible(percent / 100), "a binary, b binary")
+    return rows.mapInArrow(_plausible(percent / 100), "a long, b long")
 
 
 def _links(scratch: Scratch, docs: DataFrame, classes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
@@ -257,11 +256,12 @@ def _links(scratch: Scratch, docs: DataFrame, classes: DataFrame, near: DataFram
     needs = scratch.table(
         sliced.select("a", "slice", F.col("b").alias("class"), F.lit(False).alias("hub"))
         .union(sliced.select("a", "slice", F.col("a").alias("class"), F.lit(True).alias("hub")).distinct())
-        .join(classes.select("class", F.col("first_id").alias("doc_id")), "class"),
+        .join(classes.select("class", "mark", F.col("first_id").alias("doc_id")), "class"),
         "needs",
     )
-    texts = docs.select("doc_id", "text").join(scratch.small(needs), "doc_id")
-    found = texts.select("a", "slice", "class", "hub", "text").groupBy("a", "slice").applyInArrow(_confirm(percent), "a binary, b binary")
+    ids = scratch.table(needs.select("doc_id").distinct(), "ids")
+    texts = docs.select("doc_id", "text").join(scratch.small(ids, 2 << 20), "doc_id", "left_semi").join(needs, "doc_id")
+    found = texts.select("a", "slice", "class", "mark", "hub", "text").groupBy("a", "slice").applyInArrow(_confirm(percent), "a long, b long")
     return scratch.table(found, "links").distinct()
 
 
@@ -290,12 +290,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.table(docs.mapInArrow(_describe(percent / 100), f"doc_id long, n_shingles long, class binary, sketches {_SKETCHES}"), "rows")
-    linkable = rows.where("class is not null and doc_id is not null")
+    wide = scratch.table(docs.mapInArrow(_describe(percent / 100), f"doc_id long, n_shingles long, mark binary, sketches {_SKETCHES}"), "wide")
+    rows = scratch.table(wide.drop("sketches"), "rows")
+    linkable = wide.where("mark is not null and doc_id is not null")
     classes = scratch.table(
-        linkable.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches")), "classes"
+        linkable.groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches"))
+        .withColumn("class", F.monotonically_increasing_id()), "classes",
     )
-    bands = classes.select("class", F.explode("sketches").alias("s")).select("class", "s.*").mapInArrow(_bands, "band long, class binary, bits int")
+    scratch.drop(wide)
+    bands = classes.select("class", F.explode("sketches").alias("s")).select("class", "s.*").mapInArrow(_bands, "band long, class long")
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.table(bands.join(shared, "band"), "members")
     degree = members.groupBy("class").agg(F.sum("size").alias("degree"))
@@ -323,22 +326,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             # every pair across components meets: in small bands by a join, in large ones block by block
             few = here.where(f"size <= {SMALL_BAND}")
             left = few.select("band", F.col("class").alias("a"), F.col("label").alias("label_a"))
-            right = few.select("band", F.col("class").alias("b"), F.col("label").alias("label_b"), "bits")
-            pairs = left.join(right, "band").where("label_a <> label_b and a < b").select("a", "b", "bits").distinct()
+            right = few.select("band", F.col("class").alias("b"), F.col("label").alias("label_b"))
+            pairs = left.join(right, "band").where("label_a <> label_b and a < b").select("a", "b").distinct()
             many = here.where(f"size > {SMALL_BAND}").withColumn("slices", F.expr(f"cast(ceil(size / {BLOCK}.0) as int)"))
             many = many.withColumn("slice", F.expr("cast(pmod(xxhash64(class), slices) as int)"))
-            many = many.select("band", "class", "label", "bits", "slice", F.explode(F.expr("sequence(0, slices - 1)")).alias("with"))
+            many = many.select("band", "class", "label", "slice", F.explode(F.expr("sequence(0, slices - 1)")).alias("with"))
             many = many.withColumn("left", F.least("slice", "with")).withColumn("right", F.greatest("slice", "with"))
-            blocks = many.join(_sketches(classes), ["class", "bits"]).groupBy("band", "left", "right").applyInArrow(_block(percent / 100), "a binary, b binary")
+            blocks = many.join(_sketches(classes), "class").groupBy("band", "left", "right").applyInArrow(_block(percent / 100), "a long, b long")
         else:
             # the best connected member of a band against the members of other components
             pairs = here.where("label <> pivot_label")
             if labels is None:  # one pivot per class: the best connected of all its bands
-                pairs = pairs.groupBy("class").agg(F.max(F.struct("pivot_degree", "pivot", "bits")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("class").alias("b"), "best.bits")
+                pairs = pairs.groupBy("class").agg(F.max(F.struct("pivot_degree", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("class").alias("b"))
             else:
-                pairs = pairs.select(F.col("pivot").alias("a"), F.col("class").alias("b"), "bits").distinct()
+                pairs = pairs.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested.drop("bits"), ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         if not last:
             pairs = scratch.table(pairs, "pairs")
         near = _near(classes, pairs, percent)
@@ -349,13 +352,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             break
         tested = pairs if tested is None else tested.union(pairs)
         stars += 1
-    if labels is None:
-        named = rows.select("doc_id", "n_shingles", "class", F.col("class").alias("label"))
-    else:
-        named = rows.select("doc_id", "n_shingles", "class").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    smallest = _of(labels, classes.select("class", "first_id")).groupBy("label").agg(F.min("first_id").alias("smallest"))
+    smallest = _of(labels, classes.select("class", "mark", "first_id")).select("mark", "label", "first_id")
+    least = smallest.groupBy("label").agg(F.min("first_id").alias("smallest"))
+    named = rows.join(smallest.join(least, "label").select("mark", "smallest"), "mark", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("smallest", "doc_id"))
     return (
-        named.join(smallest, "label", "left").withColumn("component_id", own)
+        named.withColumn("component_id", own)
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     )
