@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.runtime import Scratch
@@ -248,11 +248,9 @@ def _near(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def _links(scratch: Scratch, docs: DataFrame, classes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar enough."""
-    near = scratch.table(near.distinct(), "near")
-    sizes = near.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
-    sliced = near.join(sizes, "a").select(
-        "a", "b", F.expr(f"cast(ceil(members / {MEMBERS_PER_SLICE}.0) as int)").alias("slices")
-    ).withColumn("slice", F.expr("cast(pmod(xxhash64(b), slices) as int)"))
+    sizes = F.count(F.lit(1)).over(Window.partitionBy("a"))
+    slices = F.ceil(sizes / F.lit(float(MEMBERS_PER_SLICE)))
+    sliced = scratch.table(near.distinct().withColumn("slices", slices).select("a", "b", F.expr("cast(pmod(xxhash64(b), slices) as int)").alias("slice")), "near")
     needs = scratch.table(
         sliced.select("a", "slice", F.col("b").alias("class"), F.lit(False).alias("hub"))
         .union(sliced.select("a", "slice", F.col("a").alias("class"), F.lit(True).alias("hub")).distinct())
