@@ -54,7 +54,7 @@ def _initcap(x: str) -> str:
 
 
 @case("flt_normalize_articles", f"""WITH {_PAGE_RAW},
- n AS (SELECT {sql_strip('rt')} AS title, substr({sql_strip('rd')}, 1, 500) AS description, url,
+ n AS (SELECT {sql_strip('rt')} AS title, {sql_strip('rd')} AS description, url,
    {_initcap("string_split(" + _HOST + ", '.')[-2]")} AS publisher_name FROM raw)
  SELECT {s.stable_id('url')} AS id, title, nullif(description, '') AS description, url, publisher_name,
    regexp_extract(url, '^(https?://[^/?#]+)', 1) AS publisher_url, 1704110400000000::BIGINT AS published_at_us
@@ -92,8 +92,8 @@ def english(spark, sf):
 _GATE = """body AS (SELECT lang AS feed_name, sum(n_chars)::BIGINT AS body_chars FROM documents GROUP BY lang),
  cur AS (SELECT language AS feed_name, count(*) AS n FROM art WHERE published_at <= TIMESTAMP '2024-01-05 00:00:00'
    AND NOT regexp_matches(trim(title), '^(access denied|attention required|error|feed unavailable|no feed access|service unavailable)(\\b|\\s*[|:-])', 'i') GROUP BY 1),
- status AS (SELECT b.feed_name, CASE WHEN body_chars <= 1500000 AND coalesce(n, 0) > 0 THEN 'ok' ELSE 'failed' END AS status,
-   CASE WHEN body_chars <= 1500000 THEN coalesce(n, 0) ELSE 0 END AS article_count FROM body b LEFT JOIN cur USING (feed_name))"""
+ status AS (SELECT b.feed_name, CASE WHEN coalesce(n, 0) > 0 THEN 'ok' ELSE 'failed' END AS status,
+   coalesce(n, 0) AS article_count FROM body b LEFT JOIN cur USING (feed_name))"""
 
 
 def _gate(spark, sf):

@@ -267,7 +267,7 @@ def _rss(spark, sf, *extra, title=None, link=None):
 
 
 def _landed(title="title", publisher="publisher_name", where="") -> str:
-    return f"""{ART}, n AS (SELECT {sql_strip(title)} AS title, substr({sql_strip('description')}, 1, 500) AS description, url, id AS guid, {publisher} AS publisher_name,
+    return f"""{ART}, n AS (SELECT {sql_strip(title)} AS title, {sql_strip('description')} AS description, url, id AS guid, {publisher} AS publisher_name,
    epoch_us(date_trunc('second', published_at)) AS published_at_us FROM art)
  SELECT {s.stable_id('guid')} AS id, title, nullif(trim(description), '') AS description, url, publisher_name, published_at_us FROM n WHERE title <> '' AND NOT {s.non_event('title')} {where}"""
 
@@ -380,7 +380,7 @@ def snapshot(spark, sf):
 
 
 @case("snk_world_feed", f"""{ART}, {s.DIRECTORY}, news AS (SELECT * FROM art WHERE country_name <> 'NATION_5' AND country_name <> 'NATION_24'),
- v AS (SELECT country_name, id, row_number() OVER (PARTITION BY country_name ORDER BY doc_id, id) AS k FROM news WHERE NOT {s.non_event('title')} QUALIFY k <= 20)
+ v AS (SELECT country_name, id, row_number() OVER (PARTITION BY country_name ORDER BY doc_id, id) AS k FROM news WHERE NOT {s.non_event('title')})
  SELECT ord, d.country_name, coalesce(string_agg(id, ',' ORDER BY k), '') AS ids, count(id) > 0 AS available FROM directory d LEFT JOIN v ON v.country_name = d.country_name GROUP BY ALL""")
 def world_feed(spark, sf):
     rows = fd.world_feed(

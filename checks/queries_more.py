@@ -355,7 +355,7 @@ def country_feed(spark, sf):
 
 
 @case("rank_diverse_articles", f"""{ART}, {_STORY5}, {s.BRIDGE}, n AS (SELECT country_name, count(*) AS n FROM art GROUP BY 1),
- er AS (SELECT country_code AS country_name, event_id, row_number() OVER (PARTITION BY country_code {_ORDERED}) AS event_rank FROM stories JOIN bridge USING (event_id) QUALIFY event_rank <= 100),
+ er AS (SELECT country_code AS country_name, event_id, row_number() OVER (PARTITION BY country_code {_ORDERED}) AS event_rank FROM stories JOIN bridge USING (event_id)),
  p AS (SELECT er.country_name, event_rank, k AS depth, t.id, a.url FROM er JOIN top5 t USING (event_id) JOIN art a ON a.id = t.id AND a.country_name = er.country_name JOIN n ON n.country_name = er.country_name AND n > 20),
  one AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY country_name, url ORDER BY depth, event_rank) = 1)
  SELECT country_name, id FROM one QUALIFY row_number() OVER (PARTITION BY country_name ORDER BY depth, event_rank) <= 20

@@ -54,18 +54,14 @@ def diverse_articles(articles: DataFrame, events: DataFrame, limit: int = COUNTR
     counts = keyed.groupBy("country_name").agg(F.count("*").alias("_n"))
     small = keyed.join(counts.filter(F.col("_n") <= limit).select("country_name"), "country_name", "left_semi")
     big = counts.filter(F.col("_n") > limit).select("country_name")
-    order = [highest("importance_score"), newest("last_updated_at"), F.col("cluster_id")]
-    # A source depth needs at most `limit` events, so only the leading ones can matter.
-    lead = top_rows(
-        events.join(big, "country_name", "left_semi").select("country_name", "cluster_id", "importance_score", "last_updated_at", "articles"),
-        ["country_name"], order, limit * SOURCE_DEPTH, "event_rank",
-    )
-    picks = lead.select("country_name", "event_rank", F.posexplode(F.slice("articles", 1, SOURCE_DEPTH)).alias("depth", "a")).select(
-        "country_name", "event_rank", "depth", F.col("a.id").alias("id")
-    )
+    order = [F.col("depth"), highest("event.importance_score"), newest("event.last_updated_at"), F.col("event.cluster_id")]
+    rank = ["importance_score", "last_updated_at", "cluster_id"]
+    picks = events.join(big, "country_name", "left_semi").select(
+        "country_name", *rank, F.posexplode(F.slice("articles", 1, SOURCE_DEPTH)).alias("depth", "a")
+    ).select("country_name", "depth", F.struct(*rank).alias("event"), F.col("a.id").alias("id"))
     chosen = picks.join(keyed, ["country_name", "id"])
-    chosen = first_row(chosen, ["country_name", "article_key"], [F.col("depth"), F.col("event_rank")])
-    chosen = top_rows(chosen, ["country_name"], [F.col("depth"), F.col("event_rank")], limit, "pos").drop("depth", "event_rank")
+    chosen = first_row(chosen, ["country_name", "article_key"], order)
+    chosen = top_rows(chosen, ["country_name"], order, limit, "pos").drop("depth", "event")
     w = Window.partitionBy("country_name").orderBy(newest("published_at"), "id")
     return small.withColumn("pos", F.row_number().over(w)).unionByName(chosen.select(*small.columns, "pos"))
 
@@ -82,8 +78,8 @@ def top_event_per_country(directory: DataFrame, bridge: DataFrame, events: DataF
     return directory.join(best, key, "left")
 
 
-def latest_events_per_country(events: DataFrame, k: int = 20) -> DataFrame:
-    """RANK-7."""
+def latest_events_per_country(events: DataFrame, k: int | None = 20) -> DataFrame:
+    """RANK-7; all events with ``k`` None."""
     return top_rows(events, ["country_name"], [newest("last_updated_at"), highest("importance_score"), F.col("event_id")], k, "pos")
 
 
@@ -217,8 +213,8 @@ def stalest_countries(directory: DataFrame, attempts: DataFrame) -> DataFrame:
     ).orderBy("last_attempt_at", "ord")
 
 
-def world_feed(directory: DataFrame, feeds: DataFrame, articles: DataFrame, k: int = COUNTRY_ARTICLES) -> DataFrame:
-    """SNK-2 rows: every directory country in order with its valid, capped articles."""
+def world_feed(directory: DataFrame, feeds: DataFrame, articles: DataFrame, k: int | None = None) -> DataFrame:
+    """SNK-2 rows: every directory country in order with its valid articles; ``k`` keeps the first ones only."""
     valid = filter_event_titles(articles)
     capped = top_rows(valid, ["country_name"], [F.col("pos"), F.col("id")], k, "_k")
     item = F.struct("id", "title", "url", "publisher_name", "published_at")

@@ -24,10 +24,11 @@ def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(picked.alias("_row")).select(*keys, "_row.*")
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows per key; the limit is applied before and after the shuffle."""
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows per key (all with None); the limit is applied before and after the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def sliced_row_number(df: DataFrame, keys: list[str], slice_: Column, order: list[Column], name: str) -> DataFrame:

@@ -10,7 +10,6 @@ from newsloom.session import ts
 
 MAX_AGE = "INTERVAL 8 DAYS"
 MAX_AHEAD = "INTERVAL 6 HOURS"
-MAX_FEED_CHARS = 1_500_000
 ARTICLE_COLUMNS = [
     "id", "title", "description", "image_url", "url", "publisher_name", "publisher_url",
     "published_at", "searchable_text",
@@ -23,11 +22,12 @@ def _remove_literal(c: Column, needle: Column) -> Column:
     return F.when(needle == "", c).otherwise(F.regexp_replace(c, quoted, F.lit(" ")))
 
 
-def normalize_articles(raw: DataFrame, description_chars: int = 500) -> DataFrame:
+def normalize_articles(raw: DataFrame, description_chars: int | None = None) -> DataFrame:
     """FLT-1: raw feed strings to article rows; unusable rows are dropped.
 
     Input: title, url, publisher_name, publisher_url, published (string or timestamp),
-    description, guid, image_url. Other columns pass through.
+    description, guid, image_url. Other columns pass through. ``description_chars`` cuts the
+    displayed description only; ``searchable_text`` always holds all of it.
     """
     cols = set(raw.columns)
     get = lambda n: F.col(n) if n in cols else F.lit(None).cast("string")
@@ -39,7 +39,7 @@ def normalize_articles(raw: DataFrame, description_chars: int = 500) -> DataFram
     extra = [c for c in raw.columns if c not in {"title", "url", "publisher_name", "publisher_url", "published", "description", "guid", "image_url", "id"}]
     df = raw.select(
         tx.strip_markup(get("title")).alias("title"),
-        F.substring(tx.strip_markup(get("description")), 1, description_chars).alias("description"),
+        tx.strip_markup(get("description")).alias("description"),
         tx.safe_url(tx.decode_entities(get("image_url"))).alias("image_url"),
         tx.safe_url(tx.decode_entities(get("url"))).alias("url"),
         tx.strip_markup(get("publisher_name")).alias("_stated"),
@@ -59,10 +59,11 @@ def normalize_articles(raw: DataFrame, description_chars: int = 500) -> DataFram
         & (F.coalesce("publisher_name", F.lit("")) != "")
         & F.col("published_at").isNotNull()
     )
+    shown = F.col("description") if description_chars is None else F.substring("description", 1, description_chars)
     return df.select(
         tx.stable_id(F.coalesce(F.nullif(F.col("_guid"), F.lit("")), F.col("url"))).alias("id"),
         "title",
-        F.nullif(F.col("description"), F.lit("")).alias("description"),
+        F.nullif(shown, F.lit("")).alias("description"),
         "image_url",
         "url",
         "publisher_name",
@@ -90,15 +91,17 @@ def filter_english(df: DataFrame) -> DataFrame:
     return df.filter(tx.is_english(F.col("title")))
 
 
-def gate_feeds(feeds: DataFrame, articles: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """FLT-5: oversized or empty feeds fail, the others keep their current articles.
+def gate_feeds(feeds: DataFrame, articles: DataFrame, as_of, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """FLT-5: empty feeds fail, and those above ``max_chars`` if one is given; the others keep their current articles.
 
     ``feeds(feed_name, body_chars)`` lists every feed of the run, one row each. Returns
     (surviving articles, feed_status(feed_name, status, article_count)).
     """
     current = filter_current(articles, as_of)
     counts = current.groupBy("feed_name").agg(F.count("*").alias("n"))
-    ok = (F.coalesce("body_chars", F.lit(0)) <= MAX_FEED_CHARS) & (F.coalesce("n", F.lit(0)) > 0)
+    ok = F.coalesce("n", F.lit(0)) > 0
+    if max_chars is not None:
+        ok = ok & (F.coalesce("body_chars", F.lit(0)) <= max_chars)
     status = feeds.join(counts, "feed_name", "left").select(
         "feed_name",
         F.when(ok, "ok").otherwise("failed").alias("status"),

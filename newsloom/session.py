@@ -69,8 +69,7 @@ def hours_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(3_600_000_000.0)
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast a dimension only after counting it; larger ones stay a shuffle join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def small_side(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
+    """Broadcast a dimension only after measuring its rows as text; larger ones stay a shuffle join."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

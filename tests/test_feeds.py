@@ -115,3 +115,17 @@ def test_points_and_centers(spark):
 def test_viewer_counts(spark):
     df = spark.createDataFrame([("483 watching",), ("1.2K watching",), ("3M",), ("1,234",), ("none",)], "t string")
     assert [r.v for r in df.select(st.viewer_count(F.col("t")).alias("v")).collect()] == [483, 1200, 3_000_000, 1234, 0]
+
+
+def test_gate_keeps_large_feeds_without_a_limit(spark):
+    from pyspark.sql import functions as F
+
+    from newsloom.operators.quality import gate_feeds
+
+    feeds = spark.createDataFrame([("big", 9_000_000), ("small", 10), ("none", 5)], "feed_name string, body_chars long")
+    articles = spark.createDataFrame([("big", "Flood hits town"), ("small", "Vote held today")], "feed_name string, title string").withColumn(
+        "published_at", F.lit("2024-01-04 00:00:00").cast("timestamp")
+    )
+    status = lambda limit: {r.feed_name: r.status for r in gate_feeds(feeds, articles, "2024-01-05 00:00:00", limit)[1].collect()}
+    assert status(None) == {"big": "ok", "small": "ok", "none": "failed"}
+    assert status(1_500_000) == {"big": "failed", "small": "ok", "none": "failed"}
