@@ -101,6 +101,24 @@ def with_defaults(articles: DataFrame) -> DataFrame:
     return articles.withColumns(missing) if missing else articles
 
 
+ROW_MARK = r"~[0-9a-f]{32}~\d+$"
+
+
+def unique_rows(articles: DataFrame) -> DataFrame:
+    """Rows that share an id get an id of their own: a 128-bit hash of the row and its position behind the id.
+
+    Display ids are 32-bit hashes, and two feeds may use one guid; joins need one id per row.
+    """
+    articles = cut(articles)
+    shared = cut(articles.groupBy("id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("id", F.lit(True).alias("_shared")))
+    if shared.isEmpty():
+        return articles
+    named = F.md5(F.concat_ws("\u0001", "title", "url", "publisher_name", F.col("published_at").cast("string")))
+    own = F.concat_ws("~", "id", named, F.monotonically_increasing_id().cast("string"))
+    marked = articles.join(shared, "id", "left")
+    return cut(marked.withColumn("id", F.when(F.col("_shared"), own).otherwise(F.col("id"))).drop("_shared"))
+
+
 def article_struct() -> Column:
     return F.struct(*[F.col(c) for c in ARTICLE_FIELDS])
 
@@ -120,10 +138,10 @@ def build_events(
 
     ``country`` anchors all events to one identifier; without it they are GLOBAL.
     ``scope`` names a column of country identifiers instead: the articles of each country
-    are clustered on their own, all countries in one job. Ids must be unique per row.
+    are clustered on their own, all countries in one job. Rows may share an id: each counts on its own.
     """
     at = ts(as_of)
-    base = with_defaults(filter_event_titles(articles).filter(F.col("published_at").isNotNull()))
+    base = unique_rows(with_defaults(filter_event_titles(articles).filter(F.col("published_at").isNotNull())))
     assigned, reports, similar = cu.cluster_articles(base, lexicon, hours, block_rows, dense_rows, scope)
     rows = with_publisher(
         base.select("id", (F.col(scope) if scope else F.lit(country or "GLOBAL")).alias("scope"), "title", "description", "image_url", "url", "publisher_name", "publisher_url")
@@ -151,7 +169,7 @@ def build_events(
     visible = pub.balanced_top_sources(
         latest.join(heads.select("cluster_id", "event_category"), "cluster_id"), ["cluster_id"], top,
         pub.shows_perspective(F.col("event_category")),
-    ).withColumn("headline", F.col("title"))
+    ).withColumns({"headline": F.col("title"), "id": F.regexp_replace("id", ROW_MARK, "")})
     lists = visible.groupBy("cluster_id").agg(sorted_articles([newest("published_at"), F.col("rank")]).alias("articles"))
     summaries = choose_summary(rows.select("cluster_id", "description", "published_at", "id"), heads, "cluster_id")
     n = F.col("article_count")

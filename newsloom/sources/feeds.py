@@ -12,8 +12,11 @@ from newsloom.operators.quality import normalize_articles
 FLAVOURS = ("publisher", "search", "redirect")
 
 
-def _reader(spark: SparkSession, stream: bool):
-    return spark.readStream if stream else spark.read
+def _reader(spark: SparkSession, stream: bool | int):
+    """A batch reader, or a stream reader; a number bounds the files of a micro-batch."""
+    if not stream:
+        return spark.read
+    return spark.readStream if stream is True else spark.readStream.option("maxFilesPerTrigger", stream)
 
 
 def _blank(c: str) -> Column:
@@ -51,7 +54,7 @@ def original_url(link: Column) -> Column:
     return F.when(redirect, F.coalesce(tx.safe_url(target), tx.safe_url(link))).otherwise(tx.safe_url(link))
 
 
-def raw_rss(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def raw_rss(spark: SparkSession, path: str, stream: bool | int = False) -> DataFrame:
     """One row per ``<item>`` with a fixed schema and the file it came from."""
     return (
         _reader(spark, stream).format("xml").schema(schemas.RSS_ITEM).option("rowTag", "item")
@@ -89,17 +92,17 @@ def rss_to_raw(items: DataFrame, flavour: str, publisher_name: str = "", publish
     )
 
 
-def read_rss_articles(spark: SparkSession, path: str, flavour: str = "publisher", publisher_name: str = "", publisher_url: str = "", stream: bool = False) -> DataFrame:
+def read_rss_articles(spark: SparkSession, path: str, flavour: str = "publisher", publisher_name: str = "", publisher_url: str = "", stream: bool | int = False) -> DataFrame:
     """SRC-1/2."""
     return normalize_articles(rss_to_raw(raw_rss(spark, path, stream), flavour, publisher_name, publisher_url))
 
 
-def read_article_json(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_article_json(spark: SparkSession, path: str, stream: bool | int = False) -> DataFrame:
     """SRC-3: ``{articles: [...]}`` files; entries in another language are dropped."""
     return article_list(_reader(spark, stream).schema(schemas.ARTICLE_LIST).option("multiLine", True).json(path))
 
 
-def read_article_json_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_article_json_lines(spark: SparkSession, path: str, stream: bool | int = False) -> DataFrame:
     """SRC-3 over JSON lines, one article list per line: splittable, for large landings."""
     return article_list(_reader(spark, stream).schema(schemas.ARTICLE_LIST).json(path))
 

@@ -135,7 +135,8 @@ def write_snapshot(df: DataFrame, root: str, partition_by: str | None = "country
     run = uuid.uuid4().hex
     writer = df.write.mode("errorifexists")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
+        # one country goes to few files; a hot one is split
+        writer = df.hint("rebalance", partition_by).write.mode("errorifexists").partitionBy(partition_by)
     writer.parquet(f"{root}/runs/{run}")
     pointer = spark.range(1).select(
         F.lit(run).alias("run"), F.lit(SNAPSHOT_VERSION).alias("version"), F.current_timestamp().alias("written_at")
@@ -159,5 +160,13 @@ def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 
 def publish_world_feed(rows: DataFrame, path: str) -> None:
-    """SNK-2: the ordered world feed as JSON lines."""
-    rows.write.mode("overwrite").json(path)
+    """SNK-2: the ordered world feed as JSON lines, written aside and renamed, so no reader sees half of it."""
+    spark, aside = rows.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    rows.write.json(aside)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files, old = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), f"{aside}-old"
+    replaced = files.exists(at(path)) and files.rename(at(path), at(old))
+    if not files.rename(at(aside), at(path)):
+        raise OSError(f"cannot publish {path}")
+    if replaced:
+        files.delete(at(old), True)

@@ -19,11 +19,10 @@ REFRESH = "5 minutes"
 
 def stream_articles(spark: SparkSession, path: str, as_of: Column | str | None = None, fmt: str = "rss", flavour: str = "publisher", files_per_trigger: int = 1000, **source) -> DataFrame:
     """STREAM-1/4: a landing folder as a stream of current English articles."""
-    spark.conf.set("spark.sql.streaming.schemaInference", "false")
     if fmt == "rss":
-        rows = feeds.read_rss_articles(spark, path, flavour, stream=True, **source)
+        rows = feeds.read_rss_articles(spark, path, flavour, stream=files_per_trigger, **source)
     elif fmt == "json":
-        rows = feeds.read_article_json(spark, path, stream=True)
+        rows = feeds.read_article_json(spark, path, stream=files_per_trigger)
     else:
         raise ValueError("fmt must be rss or json")
     at = ts(as_of) if as_of is not None else F.current_timestamp()

@@ -129,3 +129,17 @@ def test_gate_keeps_large_feeds_without_a_limit(spark):
     status = lambda limit: {r.feed_name: r.status for r in gate_feeds(feeds, articles, "2024-01-05 00:00:00", limit)[1].collect()}
     assert status(None) == {"big": "ok", "small": "ok", "none": "failed"}
     assert status(1_500_000) == {"big": "failed", "small": "ok", "none": "failed"}
+
+
+def test_rows_that_share_an_id_count_each(spark):
+    rows = [
+        ("g1", "Flood destroys bridge in northern valley", "Alpha Post"), ("g1", "Flood destroys bridge in northern valley", "Beta Times"),
+        ("g1", "Parliament passes budget after long debate", "Alpha Post"), ("g2", "Parliament passes budget after long debate", "Gamma News"),
+    ]
+    a = spark.createDataFrame([(i, t, p, f"https://x.example/{k}") for k, (i, t, p) in enumerate(rows)], "id string, title string, publisher_name string, url string")
+    from pyspark.sql import functions as F
+
+    a = a.withColumn("published_at", F.lit("2024-01-02 10:00:00").cast("timestamp")).withColumn("searchable_text", F.col("title"))
+    e = ev.build_events(a, "2024-01-02 12:00:00", LEX).collect()
+    assert sorted((r.headline[:5], r.article_count, r.independent_source_count) for r in e) == [("Flood", 2, 2), ("Parli", 2, 2)]
+    assert {x.id for r in e for x in r.articles} == {"g1", "g2"}
