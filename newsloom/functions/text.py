@@ -87,10 +87,6 @@ def coverage_tokens(c: Column) -> Column:
     return F.array_except(tokens(c), lit_array(dims.COVERAGE_STOP_WORDS + dims.GENERIC_TOKENS))
 
 
-def normalized_headline(c: Column) -> Column:
-    return F.array_join(F.sort_array(tokens(c)), " ")
-
-
 def sorted_tokens(c: Column) -> Column:
     return F.sort_array(tokens(c))
 
