@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.runtime import Scratch, ship
@@ -132,8 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Model | No
     real = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(real) < 2:
         return None, 0.0, 30.0 if 1 in real else -30.0
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(f"k <= {SAMPLE}").drop("k")
+    # one top-k per class: each task keeps SAMPLE rows, so no task sorts a whole class
+    chosen, other = (known.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1))
+    chosen = chosen.unionByName(other)
     sample = scratch.table(
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("apart", F.expr(f"pmod(hash(doc_id), {APART}) = 0")), "sample"
     )  # 2 * SAMPLE ids
