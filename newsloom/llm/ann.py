@@ -106,9 +106,15 @@ def _search(top: int):
         whose = [(ids[i][0], k) for i, k in zip(np.flatnonzero(asked), table["key"].filter(table["query"]).to_pylist(), strict=True)]
         out: tuple[list, ...] = ([], [], [], [])
         if len(vectors) and len(queries):
-            exact = vectors.astype(np.float64)
-            for (own, own_key), q, rows in zip(whose, queries, Forest(vectors).candidates(queries), strict=True):
-                value = (exact[rows] * q).sum(axis=1)
+            rough = queries.astype(vectors.dtype)
+            # twice the rounding error of a product in single precision
+            margins = 4 * width * 2.0**-23 * np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max() * (queries**2).sum(axis=1))
+            for (own, own_key), q, q_rough, margin, rows in zip(whose, queries, rough, margins, Forest(vectors).candidates(queries), strict=True):
+                if len(rows) > top + 1:
+                    value = vectors[rows] @ q_rough
+                    least = np.partition(value, len(value) - top - 1)[len(value) - top - 1]
+                    rows = rows[~(value < least - margin)]
+                value = (vectors[rows].astype(np.float64) * q).sum(axis=1)
                 if len(rows) > top + 1:
                     least = np.partition(value, len(value) - top - 1)[len(value) - top - 1]
                     rows, value = rows[value >= least], value[value >= least]
