@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
 from newsloom.operators.events import score_events
-from newsloom.session import small_side
+from newsloom.session import is_small, small_side
 
 EDGE = r"[^\p{L}\p{N}]"
 
@@ -45,16 +45,21 @@ def _exact(text: Column, term: Column, case_sensitive: Column) -> Column:
 
 
 def match_countries(df: DataFrame, gazetteer: DataFrame, text: str = "text", key: str = "id", longest: int | None = None) -> DataFrame:
-    """JOIN-1: distinct (key, country) named by ``text``."""
+    """JOIN-1: distinct (key, country) named by ``text``.
+
+    With a gazetteer that can be broadcast the texts stay where they are. With a larger one only word runs
+    are shuffled, and the few hits fetch their text afterwards.
+    """
     if longest is None:
         longest = gazetteer.agg(F.max("n_words")).first()[0] or 1
-    runs = df.select(key, F.col(text).alias("_x"), F.explode(tx.word_grams(F.col(text), longest)).alias("key_"))
-    g = small_side(gazetteer.select(F.col("key").alias("key_"), "country", "term", "case_sensitive"))
-    return (
-        runs.join(g, "key_")
-        .filter(_exact(F.col("_x"), F.col("term"), F.col("case_sensitive")))
-        .select(key, "country").distinct()
-    )
+    g = gazetteer.select(F.col("key").alias("key_"), "country", "term", "case_sensitive")
+    texts = df.select(key, F.col(text).alias("_x"))
+    run = F.explode(tx.word_grams(F.col("_x"), longest)).alias("key_")
+    if is_small(g):
+        hits = texts.select(key, "_x", run).join(F.broadcast(g), "key_")
+    else:
+        hits = texts.select(key, run).join(g, "key_").select(key, "country", "term", "case_sensitive").distinct().join(texts, key)
+    return hits.filter(_exact(F.col("_x"), F.col("term"), F.col("case_sensitive"))).select(key, "country").distinct()
 
 
 def reject_homonyms(matches: DataFrame, texts: DataFrame, rules: DataFrame, text: str = "text", key: str = "id") -> DataFrame:

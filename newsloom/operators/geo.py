@@ -22,20 +22,23 @@ def normalize_longitude(lon: Column) -> Column:
 
 
 def unwrap(ring: Column) -> Column:
-    """Longitudes made continuous across the antimeridian, by accumulated steps."""
-    step = lambda d: F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
-
-    def add(acc: Column, p: Column) -> Column:
-        first = F.size(acc["pts"]) == 0
-        lon = F.when(first, p["lon"]).otherwise(acc["lon"] + step(p["lon"] - acc["raw"]))
-        point = F.struct(lon.alias("lon"), p["lat"].alias("lat"))
-        return F.struct(p["lon"].alias("raw"), lon.alias("lon"), F.concat(acc["pts"], F.array(point)).alias("pts"))
-
-    zero = F.struct(
-        F.lit(0.0).alias("raw"), F.lit(0.0).alias("lon"),
-        F.array().cast("array<struct<lon:double,lat:double>>").alias("pts"),
-    )
-    return F.aggregate(ring, zero, add)["pts"]
+    """Longitudes made continuous across the antimeridian.
+
+    Only the few steps that cross it are folded: a vertex is moved by the turns up to it, so the work is linear
+    in the vertices and nothing is copied per step.
+    """
+
+    def turn(i: Column) -> Column:
+        d = F.get(ring, i)["lon"] - F.get(ring, i - 1)["lon"]
+        return F.struct(i.alias("at"), F.when(d > 180, -360.0).when(d < -180, 360.0).otherwise(0.0).alias("by"))
+
+    turns = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ring) - 1, F.lit(0))), turn), lambda t: t["by"] != 0)
+
+    def moved(ts: Column) -> Column:
+        by = lambda i: F.aggregate(ts, F.lit(0.0), lambda s, t: s + F.when(t["at"] <= i, t["by"]).otherwise(0.0))
+        return F.transform(ring, lambda p, i: F.struct((p["lon"] + by(i)).alias("lon"), p["lat"].alias("lat")))
+
+    return let(turns, moved)
 
 
 def prepare_polygons(polygons: DataFrame) -> DataFrame:
@@ -102,34 +105,41 @@ def _locate(lon: Column, lat: Column, ring: Column) -> Column:
     return let(edges, lambda es: F.when(F.exists(es, touches), 2).otherwise(F.size(F.filter(es, crosses)) % 2))
 
 
-def _inside(lon: Column, lat: Column) -> Column:
-    """Point test against the polygon columns of a joined row."""
-    in_box = (
+def _in_box(lon: Column, lat: Column) -> Column:
+    return (
         (lon >= F.col("lon_lo") - EPS) & (lon <= F.col("lon_hi") + EPS)
         & (lat >= F.col("lat_lo") - EPS) & (lat <= F.col("lat_hi") + EPS)
     )
+
+
+def _inside(lon: Column, lat: Column) -> Column:
+    """Point test against the polygon columns of a joined row."""
     outer = _locate(lon, lat, F.col("rings")[0])
     holes = F.transform(F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(1))), lambda r: _locate(lon, lat, r))
     first_hit = F.try_element_at(F.filter(holes, lambda h: h > 0), F.lit(1))
     in_hole = F.coalesce(first_hit, F.lit(0)) == 1
-    return in_box & ((outer == 2) | ((outer == 1) & ~in_hole))
+    return _in_box(lon, lat) & ((outer == 2) | ((outer == 1) & ~in_hole))
 
 
 def points_in_polygons(points: DataFrame, prepared: DataFrame, key: str = "id") -> DataFrame:
     """JOIN-15: (key, lon, lat, country_id, name) of the first containing polygon, else null.
 
-    Points meet polygons in an equi-join on 10-degree cells; crowded cells are split by
-    salt on the point side when polygons are too many to broadcast.
+    Points meet the bounds of polygons in an equi-join on 10-degree cells; rings are joined by polygon only for
+    points inside the bounds. Each side of polygons is broadcast if its measured size allows; beyond that a
+    crowded cell or polygon is left to the adaptive skew join.
     """
     lon = normalize_longitude(F.col("lon"))
     ok = ~F.isnan("lon") & ~F.isnan("lat") & F.col("lon").isNotNull() & F.col("lat").between(-90, 90) & (F.abs("lon") < float("inf"))
     x = F.least(F.lit(35), F.greatest(F.lit(0), F.floor((lon + 180) / CELL).cast("int")))
     y = F.least(F.lit(17), F.greatest(F.lit(0), F.floor((F.col("lat") + 90) / CELL).cast("int")))
     pts = points.withColumn("cell", F.when(ok, x + y * 36)).withColumn("nlon", F.when(ok, lon))
-    cells = prepared.withColumn("cell", F.explode(_cells(F.col("lon_lo"), F.col("lon_hi"), F.col("lat_lo"), F.col("lat_hi"))))
-    cand = pts.select(key, "nlon", "lat", "cell").join(small_side(cells), "cell")
+    bounds = ["lon_lo", "lon_hi", "lat_lo", "lat_hi"]
+    cells = prepared.select("polygon_id", *bounds, F.explode(_cells(*[F.col(c) for c in bounds])).alias("cell"))
     n = F.col("nlon")
-    hit = cand.filter(_inside(n, F.col("lat")) | _inside(n - 360, F.col("lat")) | _inside(n + 360, F.col("lat")))
+    around = lambda test: test(n, F.col("lat")) | test(n - 360, F.col("lat")) | test(n + 360, F.col("lat"))
+    near = pts.select(key, "nlon", "lat", "cell").join(small_side(cells), "cell").filter(around(_in_box))
+    rings = prepared.select("polygon_id", "ord", "country_id", "name", "rings")
+    hit = near.join(small_side(rings), "polygon_id").filter(around(_inside))
     best = hit.groupBy(key).agg(F.min_by(F.struct("country_id", "name"), F.struct("ord", "polygon_id")).alias("_b"))
     return points.join(best, key, "left").select(*points.columns, F.col("_b.country_id").alias("country_id"), F.col("_b.name").alias("name"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom import dims
@@ -18,11 +18,11 @@ ROLLOVER_GUARD = "INTERVAL 5 MINUTES"
 
 
 # --- JOIN-8 -----------------------------------------------------------------------------
-def _headlines(events: DataFrame, key: str) -> DataFrame:
-    """(key, last_updated_at, tokens) of the event headline and its article headlines."""
+def _headlines(events: DataFrame, key: str, scope: list[str]) -> DataFrame:
+    """(key, last_updated_at, scope, tokens) of the event headline and its article headlines."""
     heads = F.array_distinct(F.concat(F.array("headline"), F.transform("articles", lambda a: a["headline"])))
-    return events.select(key, F.unix_micros("last_updated_at").alias("us"), F.explode(heads).alias("h")).select(
-        key, "us", tx.identity_tokens(F.col("h")).alias("t")
+    return events.select(key, F.unix_micros("last_updated_at").alias("us"), *scope, F.explode(heads).alias("h")).select(
+        key, "us", *scope, tx.identity_tokens(F.col("h")).alias("t")
     )
 
 
@@ -44,7 +44,7 @@ def same_occurrence_pairs(
     )
     # Equal token sets: chain the members of a group instead of pairing all of them.
     equal = consecutive(base.filter(F.size("tokens") > 0), [*scope, "tokens"], key)
-    heads = _headlines(base, key)
+    heads = _headlines(base, key, scope)
     # A distinct token list is a report in the sense of JOIN-7, without context.
     lists = heads.filter(F.size("t") >= 2).select("t").distinct()
     reports = cut(
@@ -58,24 +58,25 @@ def same_occurrence_pairs(
     )
     # Titles alone: the context of a bare headline is the headline itself.
     reports = reports.withColumn("context", F.col("ids"))
-    named = cut(heads.join(reports.select("report", F.col("title_tokens").alias("t")), "t").select(key, "us", "report").distinct())
+    named = cut(heads.join(reports.select("report", F.col("title_tokens").alias("t")), "t").select(key, "us", "report", *scope).distinct())
     pairs, dense = sm.candidate_pairs(reports, named.select("report", "us"), SAME_HOURS, block_rows, dense_rows)
     if dense is not None:
         pairs = pairs.unionByName(sm._meet(dense, ["t1", "t2", "w"]).select("a", "b")).distinct()
     similar = sm.score_pairs(pairs, reports).select("a", "b")
     both_ways = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
     same = reports.filter(cu._self_similar()).select(F.col("report").alias("a"), F.col("report").alias("b"))
-    left = named.select(F.col(key).alias("x"), F.col("us").alias("ux"), F.col("report").alias("a"))
-    right = named.select(F.col(key).alias("y"), F.col("us").alias("uy"), F.col("report").alias("b"))
+    # the scope is part of the join key: events of two scopes never meet
+    within = [f"scope_{i}" for i in range(len(scope))]
+    scoped = [F.col(c).alias(w) for c, w in zip(scope, within, strict=True)]
+    left = named.select(F.col(key).alias("x"), F.col("us").alias("ux"), F.col("report").alias("a"), *scoped)
+    right = named.select(F.col(key).alias("y"), F.col("us").alias("uy"), F.col("report").alias("b"), *scoped)
     met = (
-        left.join(both_ways.unionByName(same), "a").join(right, "b")
+        left.join(both_ways.unionByName(same), "a").join(right, ["b", *within])
         .filter((F.col("x") < F.col("y")) & (F.abs(F.col("ux") - F.col("uy")) <= SAME_HOURS * sm.HOUR))
         .select("x", "y").distinct()
     )
-    info = lambda s: base.select(F.col(key).alias(s), F.struct("category", "tokens", *scope).alias(f"i{s}"))
+    info = lambda s: base.select(F.col(key).alias(s), F.struct("category", "tokens").alias(f"i{s}"))
     rule = (F.col("ix.category") == F.col("iy.category")) | (F.size(F.array_intersect("ix.tokens", "iy.tokens")) >= 4)
-    for c in scope:
-        rule = rule & (F.col(f"ix.{c}") == F.col(f"iy.{c}"))
     near = met.join(info("x"), "x").join(info("y"), "y").filter(rule).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return near.unionByName(equal).distinct()
 
@@ -249,23 +250,36 @@ def canonical_event_registry(global_events: DataFrame, country_events: DataFrame
 def match_event_coverage(events: DataFrame, articles: DataFrame, key: str = "event_key", wide_stop_list: bool = False) -> DataFrame:
     """JOIN-9: distinct (key, id) of articles that report an event.
 
-    Headline tokens meet article tokens in an equi-join; counts per (headline, article)
-    combine map-side before the rule is applied.
+    A headline of n tokens needs at least r common ones, so an article that reports it has one of the headline's
+    n - r + 1 rarest tokens. Only those meet article tokens in an equi-join; a token that many articles share
+    makes candidates only where a headline has nothing rarer. The rule is then applied to the whole token lists.
     """
     tok = tx.coverage_tokens if wide_stop_list else tx.identity_tokens
     heads = F.array_distinct(F.concat(F.array("headline"), F.transform("articles", lambda a: a["headline"])))
-    h = events.select(key, F.posexplode(heads).alias("pos", "h")).select(key, "pos", tok(F.col("h")).alias("t"))
-    h = h.select(key, "pos", F.size("t").alias("n"), F.explode("t").alias("tok"))
+    # equal token lists are judged once, however many events carry them
+    named = events.select(key, F.explode(heads).alias("h")).select(key, F.sort_array(tok(F.col("h"))).alias("t")).filter(F.size("t") >= 2).distinct()
+    lists = cut(named.select("t").distinct().select(F.monotonically_increasing_id().alias("head"), "t"))
     body = F.col("searchable_text") if "searchable_text" in articles.columns else F.concat_ws(" ", "title", "description")
-    a = articles.select("id", F.explode(tok(body)).alias("tok"))
+    a = cut(articles.select("id", tok(body).alias("body")).filter(F.size("body") >= 2).withColumn("row", F.monotonically_increasing_id()))
+    h = lists.select("head", F.size("t").alias("n"), F.explode("t").alias("tok"))
+    inverted = a.select("row", F.explode("body").alias("tok"))
+    frequency = inverted.join(h.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("f"))
+    # the least number of common tokens that the rule below can accept
+    needed = F.when(F.col("n") <= 3, 2).when(F.col("n") <= 7, 3).otherwise(4)
+    order = Window.partitionBy("head").orderBy(F.coalesce("f", F.lit(0)), "tok")
+    rare = h.join(frequency, "tok", "left").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= F.col("n") - needed + 1)
+    met = rare.select("head", "tok").join(inverted, "tok").select("head", "row").distinct()
+    both = F.array_intersect("t", "body")
     s = (
-        h.join(a, "tok").groupBy(key, "pos", "n", "id")
-        .agg(F.count("*").alias("s"), F.count_if(F.length("tok") >= 6).alias("d"))
+        met.join(a, "row").join(lists, "head")
+        .select("head", "id", F.size("t").alias("n"), both.alias("both"))
+        .select("head", "id", "n", F.size("both").alias("s"), F.size(F.filter("both", lambda x: F.length(x) >= 6)).alias("d"))
     )
     share = F.col("s") / F.col("n")
     short = (F.col("s") >= 3) | ((F.col("s") >= 2) & (F.col("d") >= 1) & (share >= 0.66))
     long_ = (F.col("s") >= 4) | ((F.col("s") >= 3) & (share >= 0.4)) | ((F.col("s") >= 2) & (F.col("d") >= 1) & (share >= 0.5))
-    return s.filter(F.when(F.col("n") <= 4, short).otherwise(long_)).select(key, "id").distinct()
+    hits = s.filter(F.when(F.col("n") <= 4, short).otherwise(long_)).select("head", "id").distinct()
+    return hits.join(lists, "head").join(named, "t").select(key, "id").distinct()
 
 
 def enrich_events_with_coverage(events: DataFrame, articles: DataFrame, as_of, lexicon: dims.Lexicon, key: str = "event_key", top: int = 5) -> DataFrame:

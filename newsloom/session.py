@@ -69,7 +69,11 @@ def hours_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(3_600_000_000.0)
 
 
+def is_small(df: DataFrame, max_bytes: int = 16 << 20) -> bool:
+    """Whether the rows of ``df``, measured as text, take no more than ``max_bytes``."""
+    return (df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0) <= max_bytes
+
+
 def small_side(df: DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
-    """Broadcast a dimension only after measuring its rows as text; larger ones stay a shuffle join."""
-    size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    """Broadcast a dimension only after measuring its rows; larger ones stay a shuffle join."""
+    return F.broadcast(df) if is_small(df, max_bytes) else df
