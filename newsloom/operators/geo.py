@@ -28,17 +28,19 @@ def unwrap(ring: Column) -> Column:
     in the vertices and nothing is copied per step.
     """
 
-    def turn(i: Column) -> Column:
-        d = F.get(ring, i)["lon"] - F.get(ring, i - 1)["lon"]
-        return F.struct(i.alias("at"), F.when(d > 180, -360.0).when(d < -180, 360.0).otherwise(0.0).alias("by"))
+    def whole(pts: Column) -> Column:
+        def turn(i: Column) -> Column:
+            d = F.get(pts, i)["lon"] - F.get(pts, i - 1)["lon"]
+            return F.struct(i.alias("at"), F.when(d > 180, -360.0).when(d < -180, 360.0).otherwise(0.0).alias("by"))
 
-    turns = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ring) - 1, F.lit(0))), turn), lambda t: t["by"] != 0)
+        def moved(turns: Column) -> Column:
+            by = lambda i: F.aggregate(turns, F.lit(0.0), lambda s, t: s + F.when(t["at"] <= i, t["by"]).otherwise(0.0))
+            return F.transform(pts, lambda p, i: F.struct((p["lon"] + by(i)).alias("lon"), p["lat"].alias("lat")))
 
-    def moved(ts: Column) -> Column:
-        by = lambda i: F.aggregate(ts, F.lit(0.0), lambda s, t: s + F.when(t["at"] <= i, t["by"]).otherwise(0.0))
-        return F.transform(ring, lambda p, i: F.struct((p["lon"] + by(i)).alias("lon"), p["lat"].alias("lat")))
+        steps = F.transform(F.sequence(F.lit(0), F.greatest(F.size(pts) - 1, F.lit(0))), turn)
+        return let(F.filter(steps, lambda t: t["by"] != 0), moved)
 
-    return let(turns, moved)
+    return let(ring, whole)
 
 
 def prepare_polygons(polygons: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def prepare_polygons(polygons: DataFrame) -> DataFrame:
     one. One output row per polygon with ``rings`` in order.
     """
     rings = (
-        polygons.withColumn("ring", unwrap(F.col("ring"))).filter((F.size("ring") >= 3) & (F.trim("name") != ""))
+        polygons.filter((F.size("ring") >= 3) & (F.trim("name") != "")).withColumn("ring", unwrap(F.col("ring")))
         .withColumn("lo", F.array_min(F.transform("ring", lambda p: p["lon"])))
         .withColumn("hi", F.array_max(F.transform("ring", lambda p: p["lon"])))
     )
