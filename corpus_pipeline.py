@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows it gets, and returns a DataFrame; the result is
 written as Parquet and read again as the next stage's docs. All but the last keep the columns of documents.
 
-1. language: rows in no learned language (``und``) go, and those with no language of at least half the words.
+1. language: rows in no learned language (``und``) go, and those whose main language holds less than ``LEAST_SHARE`` of the words.
 2. near_dedup: of each group of near copies the document with the smallest id stays.
 3. decontaminate: documents that contain a benchmark item go.
 4. secrets: secrets are replaced in the texts; no document goes, n_chars follows the text.
