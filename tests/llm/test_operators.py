@@ -155,6 +155,28 @@ def test_containment(docs, empty, spark):
     assert decontaminate.find(empty, items).count() == 0 and decontaminate.find(docs, items.limit(0)).count() == 0
 
 
+def test_containment_of_short_items(spark):
+    """An item of k words below five is one shingle of k words, held against the k-word runs of every text."""
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.choice([1, 2, 3, 4, 5, 60, 400])))) for i in range(60)] + [(60, None), (61, "?")]
+    items = [(k, " ".join(texts[rng.randrange(60)][1].split()[:k]).upper() + "!") for k in (1, 2, 3, 4)] + [(5, "ax  by"), (6, "no such words"), (7, texts[5][1]), (8, ""), (9, "ax")]
+    runs = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    split = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    want = set()
+    for d, t in texts:
+        for i, x in items:
+            w = split(x)
+            own = runs(w, min(len(w), 5)) if w else set()
+            shared = own & runs(split(t), min(len(w), 5)) if w else set()
+            if own and 100 * len(shared) >= 80 * len(own):
+                want.add((d, i, len(shared), len(own)))
+    tables = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.find(*tables).collect()} == want
+    assert {r.doc_id for r in decontaminate.remove(*tables).collect()} == {d for d, _ in texts} - {d for d, *_ in want}
+    long_doc = next(d for d, t in texts if len(split(t)) >= 60)
+    assert any(d == long_doc and i in (5, 9) for d, i, *_ in want)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
