@@ -4,12 +4,16 @@ A text is cut only where the tokenizer's own split pattern always ends a token:
 between two other characters (byte level), at white space (word level), between an ASCII letter and ASCII
 punctuation, and after a single line break. Ids of the chunks, joined, are the ids of the text. Chunks are
 found and hashed in numpy; a worker keeps the ids of up to ``MOST`` chunks and then starts afresh.
-Strings of special tokens inside a text are ordinary text.
+
+The added tokens of the tokenizer's file count as the library counts them by default: each place where one stands in
+a text is that token's id, so it is a chunk of its own, never cut.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -23,6 +27,7 @@ _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True  # no apostrophe: it may open a token with letters
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[33:127] = True
+_ADDED = np.uint64(0x6A09E667F3BCC909)  # keeps an added token's key apart from the same letters in ordinary text
 
 
 class Encoder:
@@ -34,7 +39,11 @@ class Encoder:
 
         self.kind = kind
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = json.loads(self.tokenizer.to_str())["added_tokens"]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+            raise ValueError("an added token that takes spaces, whole words or normalized text can't be found by its bytes")
+        parts = sorted((t["content"].encode() for t in added), key=len, reverse=True)  # the longest of those that begin at one place
+        self.added = re.compile(b"|".join(map(re.escape, parts))) if parts else None
         self._forget()
 
     def _forget(self) -> None:
@@ -43,7 +52,19 @@ class Encoder:
         self.count = np.empty(0, dtype=np.int64)
         self.ids = np.empty(0, dtype=np.uint32)
 
-    def _cuts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _find_added(self, raw: bytes, off: np.ndarray) -> np.ndarray:
+        """Start and end of each added token inside a text, in order."""
+        found, at = [], 0
+        while self.added and (m := self.added.search(raw, at)):
+            border = int(off[np.searchsorted(off, m.start(), side="right")])
+            if m.end() > border:  # no token runs across two texts, but a shorter one may end before the border
+                m = self.added.search(raw, m.start(), border)
+            if m:
+                found.append(m.span())
+            at = m.end() if m else border
+        return np.array(found, dtype=np.int64).reshape(-1, 2)
+
+    def _cuts(self, data: np.ndarray, off: np.ndarray, added: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of the chunks, and the chunks before each text."""
         n = len(data)
         cut = np.zeros(n, dtype=bool)
@@ -55,10 +76,15 @@ class Encoder:
             inside[starts] = True
             cut |= inside
             cut &= ~SPACE[data]
-            starts = np.flatnonzero(cut)
             stop = np.zeros(n + 1, dtype=bool)
-            stop[starts] = True
             stop[ends] = True
+            for a, b in added.tolist():
+                cut[a + 1 : b] = stop[a + 1 : b] = False
+                cut[a] = stop[b] = True
+                if b < n and not SPACE[data[b]]:
+                    cut[b] = True
+            starts = np.flatnonzero(cut)
+            stop[starts] = True
             # a chunk ends at the next cut or at the end of its word
             marks = np.flatnonzero(stop)
             ends = marks[np.searchsorted(marks, starts, side="right")] if len(starts) else starts
@@ -76,6 +102,11 @@ class Encoder:
             second = second[second < n]
             cut[second[_LETTER[data[second]] & (data[second - 1] == 10)]] = False
             cut[heads] = True
+            for a, b in added.tolist():
+                cut[a + 1 : b] = False
+                cut[a] = True
+                if b < n:
+                    cut[b] = True
             starts = np.flatnonzero(cut)
             ends = np.append(starts[1:], n) if len(starts) else starts
         return starts, ends, np.searchsorted(starts, off)
@@ -83,10 +114,13 @@ class Encoder:
     def encode(self, arr) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a text column, and the number of ids before each text."""
         data, off = utf8(arr)
+        raw = data.tobytes()
+        added = self._find_added(raw, off)
         if self.kind == "word":
             data = LOWER[data]
-        starts, ends, before = self._cuts(data, off)
+        starts, ends, before = self._cuts(data, off, added)
         hashes = span_hashes(data, starts, ends)
+        hashes[np.searchsorted(starts, added[:, 0])] ^= _ADDED
         keys, example, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > MOST:
             self._forget()
@@ -96,7 +130,6 @@ class Encoder:
             fresh = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
         new = np.flatnonzero(fresh)
         if len(new):
-            raw = data.tobytes()
             found: list[list[int]] = []
             for k in range(0, len(new), 2000):
                 rows = example[new[k : k + 2000]]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, bitpack, chat, decontaminate, hyperminhash, langid, ngram_lm, packing, secrets, toxicity
+from newsloom.llm import ann, bitpack, bpe, chat, decontaminate, hyperminhash, langid, ngram_lm, packing, secrets, toxicity
 from newsloom.llm.elias_fano import EliasFano
 from newsloom.llm.queries import tokenizer_path
 from newsloom.llm.runtime import id_crc
@@ -228,6 +228,41 @@ def test_bit_packing(docs, empty, tmp_path):
     assert bitpack.round_trip(empty, path).count() == 0
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_added_tokens_in_texts(name, kind):
+    """Ids are those of the library's plain call, also where texts hold the tokenizer's added tokens or parts of them."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path(name))
+    rng = random.Random(8)
+    pool = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endof", "text|>", "<", "|>", " ", "  ", "\n", "\r\n", "one", "Two", "'s", "!", "9", "ä", "日本", "\u00a0"]
+    texts = [None, "", "one <|endoftext|> two", "<|endof", "text|>", "<|endoftext|>", "<|endoftext|><|startoftext|> <|endoftext|>"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    encoder = bpe.Encoder(tokenizer_path(name), kind)
+    for k in range(0, len(texts), 500):
+        ids, before = encoder.encode(pa.array(texts[k : k + 500], pa.string()))
+        for i, x in enumerate(texts[k : k + 500]):
+            assert ids[before[i] : before[i + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+
+
+def test_added_tokens_in_packed_files(spark):
+    from tokenizers import Tokenizer
+
+    texts = [(1, "one <|endoftext|> two"), (2, "plain"), (3, "<|STARTOFTEXT|><|startoftext|>x"), (4, "after")]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    at = 0
+    for r, (i, x) in zip(sorted(bitpack.round_trip(table, tokenizer_path("word_bpe_49k.json")).collect(), key=lambda r: r.start), texts, strict=True):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    for r in packing.pack(table, tokenizer_path("byte_bpe_50k.json")).collect():
+        ids = [*t.encode(dict(texts)[r.doc_id], add_special_tokens=False).ids, 0]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_language_model(docs, empty):
     assert ngram_lm.score(empty, F.lit(True)).count() == 0
     got = ngram_lm.score(docs, id_crc() % 7 != 2).collect()
