@@ -3,9 +3,9 @@
 Words and word pairs of a bounded sample of labelled texts (``SAMPLE`` per class, those with the smallest
 hash of their id) are counted per class. The lowest level is shared: it rests on the number of different
 words that precede a word, over both classes, so an expression that is rare in the sample has the same
-probability under either class. Expressions seen fewer than ``LEAST`` times leave their class counts to that
-shared level altogether, and so do those whose class counts differ by less than ``SURE`` standard deviations
-from what both classes share. A text's two log-likelihoods are divided by its length and compared; a logistic
+probability under either class. Every expression counts, however rare: its log ratio of the two classes is weighted
+between its own and that of the level below it (a word's for a pair, 0 for a word) by how far its class counts are
+from what both classes share, ``z² / (z² + DOUBT)`` in standard deviations z. A text's two log-likelihoods are divided by its length and compared; a logistic
 curve turns the difference into a score; it is fitted on one in ``APART`` texts of the sample, which the
 counts leave out, weighted to the labels' real proportion.
 
@@ -25,8 +25,7 @@ from newsloom.llm.runtime import Scratch, ship
 from newsloom.llm.tokens import mix, slices, words
 
 SAMPLE = 4000
-LEAST = 6
-SURE = 6.0
+DOUBT = 100.0
 APART = 4
 DISCOUNT = 0.75
 
@@ -61,24 +60,27 @@ def _count(batches):
 class Model:
     """Log-likelihood differences of words and pairs, toxic less ordinary, by sorted hash."""
 
-    def __init__(self, uni: dict, bi: dict, totals: dict):
+    def __init__(self, uni: dict, totals: dict):
         n, kinds, all_left = totals["n"], totals["kinds"], max(totals["left"], 1)
         shared = (uni["left"] + 0.5) / (all_left + 0.5 * (len(uni["w"]) + 1))
         lam = [DISCOUNT * kinds[c] / max(n[c], 1) for c in (0, 1)]
         p = [(np.maximum(uni["n"][c] - DISCOUNT, 0) / max(n[c], 1)) + lam[c] * shared for c in (0, 1)]
         order = np.argsort(uni["w"])
-        self.words, word_p = uni["w"][order], [x[order] for x in p]
-        self.word = np.where(_differs(*(x[order] for x in uni["n"]), n), np.log(word_p[1] / word_p[0]), 0.0)
-        order = np.argsort(bi["pair"])
-        self.pairs = bi["pair"][order]
-        at = np.searchsorted(self.words, bi["w"][order])
+        self.words, self.n, self.word_p = uni["w"][order], n, [x[order] for x in p]
+        self.word = _weight(*(x[order] for x in uni["n"]), n) * np.log(self.word_p[1] / self.word_p[0])
+        self.pairs, self.pair = np.empty(0, dtype=np.uint64), np.empty(0)
+
+    def pair_values(self, bi: dict) -> np.ndarray:
+        """The weighted log ratio of each pair."""
+        at = np.searchsorted(self.words, bi["w"])
         found = []
         for c in (0, 1):
-            context, follow, seen = (bi[k][c][order] for k in ("context", "follow", "n"))
-            lower = word_p[c][at]
+            context, follow, seen = (bi[k][c] for k in ("context", "follow", "n"))
+            lower = self.word_p[c][at]
             rest = (np.maximum(seen - DISCOUNT, 0) + DISCOUNT * np.maximum(follow, 1) * lower) / np.maximum(context, 1)
             found.append(np.where(context > 0, rest, lower))
-        self.pair = np.where(_differs(*(x[order] for x in bi["n"]), n), np.log(found[1] / found[0]), self.word[at])
+        lower = self.word[at]
+        return lower + _weight(*bi["n"], self.n) * (np.log(found[1] / found[0]) - lower)
 
     def difference(self, hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Mean over each text's words; 0 for a text without words."""
@@ -89,11 +91,12 @@ class Model:
         return (total[before[1:]] - total[before[:-1]]) / np.maximum(np.diff(before), 1)
 
 
-def _differs(n0: np.ndarray, n1: np.ndarray, totals: list) -> np.ndarray:
-    """Whether class counts differ by ``SURE`` standard deviations from the share both classes have in common."""
+def _weight(n0: np.ndarray, n1: np.ndarray, totals: list) -> np.ndarray:
+    """The weight of an expression's own log ratio, from its class counts; 0 only where they are exactly those both classes share."""
     share = totals[1] / max(totals[0] + totals[1], 1)
     both = n0 + n1
-    return np.abs(n1 - both * share) >= SURE * np.sqrt(both * share * (1 - share))
+    square = (n1 - both * share) ** 2 / np.maximum(both * share * (1 - share), 1e-9)
+    return square / (square + DOUBT)
 
 
 def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwise) -> np.ndarray:
@@ -148,16 +151,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Model | No
     t = each.agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"kinds{c}") for c in (0, 1)), F.sum("left").alias("left")).first()
     if t["left"] is None:
         return None, 0.0, float(np.log(real[1] / real[0]))
-    uni = each.where(f"n0 + n1 >= {LEAST}")
     contexts = pairs.groupBy("v").agg(*(F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"f{c}") for c in (0, 1)))
-    bi = pairs.where(f"n0 + n1 >= {LEAST}").join(contexts, "v")
-    u, b = uni.toArrow(), bi.toArrow()  # bounded by the sample
-    col = lambda table, name: [table[f"{name}{c}"].to_numpy().astype(np.float64) for c in (0, 1)]
+    u = each.toArrow()  # bounded by the sample
     model = Model(
-        {"w": _u64(u["w"]), "left": u["left"].to_numpy().astype(np.float64), "n": col(u, "n")},
-        {"pair": _u64(b["pair"]), "w": _u64(b["w"]), "n": col(b, "n"), "context": col(b, "c"), "follow": col(b, "f")},
+        {"w": _u64(u["w"]), "left": u["left"].to_numpy().astype(np.float64), "n": _columns(u, "n")},
         {"n": [t["n0"], t["n1"]], "kinds": [t["kinds0"], t["kinds1"]], "left": t["left"]},
     )
+    # the pairs are valued where they are; a key and a value of each come to the driver, bounded by the sample
+    values = pairs.join(contexts, "v").drop("v").mapInArrow(_pair_values(spark.sparkContext.broadcast(model)), "pair long, value double").toArrow()
+    keys, value = _u64(values["pair"]), values["value"].to_numpy()
+    del values
+    order = np.argsort(keys)
+    model.pairs, model.pair = keys[order], value[order]
     scored = sample.where("apart").select("text", "toxic").mapInArrow(_difference(spark.sparkContext.broadcast(model)), "toxic int, x double").toArrow()
     if not scored.num_rows:
         return model, 1.0, float(np.log(real[1] / real[0]))
@@ -168,6 +173,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Model | No
     return model, slope, intercept
 
 
+def _columns(table, name: str) -> list[np.ndarray]:
+    return [table[f"{name}{c}"].to_numpy().astype(np.float64) for c in (0, 1)]
+
+
+def _pair_values(model):
+    def value(batches):
+        for batch in batches:
+            bi = {"w": _u64(batch.column("w")), "n": _columns(batch, "n"), "context": _columns(batch, "c"), "follow": _columns(batch, "f")}
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(model.value.pair_values(bi))], names=["pair", "value"])
+
+    return value
+
+
 def _difference(model):
     def score(batches):
         for batch in slices(batches):

@@ -122,6 +122,26 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, y, id_crc() % 5 != 0).count() == 0
 
 
+def test_toxicity_of_rare_expressions(spark):
+    """Toxic texts whose abusive words have 2 to 10 sightings each in the whole table, and fewer in the sample."""
+    rng = random.Random(9)
+    plain, n = [f"word{k}" for k in range(200)], 400
+    rare = [f"vile{k}" for k in range(n) for _ in range(2 + k % 9)]
+    rng.shuffle(rare)
+    rows, labels = [], []
+    for i in range(3 * n):
+        bad = i % 3 == 0
+        said = [rng.choice(plain) for _ in range(30)] + (rare[i // 3 :: n] if bad else [])
+        rng.shuffle(said)
+        rows.append((i, " ".join(said)))
+        labels.append((i, int(bad)))
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), id_crc() % 5 != 0).collect()}
+    held = [(got[i].score, t) for i, t in labels if got[i].held_out]
+    above = np.mean([(a > b) + (a == b) / 2 for a, x in held if x for b, y in held if not y])
+    assert above > 0.95, above
+    assert np.mean([(a >= 0.5) == t for a, t in held]) > 0.9
+
+
 def test_secrets(docs, empty, spark):
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     r = got[109]
