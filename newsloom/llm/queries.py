@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, bitpack, chat, decontaminate, hyperminhash, langid, ngram_lm, packing, secrets, toxicity
+from newsloom.llm import ann, bitpack, chat, decontaminate, hyperminhash, langid, licenses, ngram_lm, packing, secrets, toxicity
 from newsloom.llm.runtime import id_crc, read
 
 
@@ -61,8 +61,12 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_ngram_lm, op3_secrets, op4_chat, op5_toxicity, op6_langid, op7_ann, op8_packing, op9_bitpack, op10_hyperminhash]
+    found = [op1_decontaminate, op2_ngram_lm, op3_secrets, op4_chat, op5_toxicity, op6_langid, op7_ann, op8_packing, op9_bitpack, op10_hyperminhash, op11_licenses]
     return {f.__name__: f for f in found}
 
 
