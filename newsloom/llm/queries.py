@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, bitpack, chat, decontaminate, hyperminhash, langid, licenses, ngram_lm, packing, repair, secrets, toxicity
+from newsloom.llm import ann, bitpack, chat, decontaminate, hyperminhash, langid, licenses, ngram_lm, packing, prefix_trie, repair, secrets, toxicity
 from newsloom.llm.runtime import id_crc, read
 
 
@@ -69,8 +69,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(read(spark, sf_dir, "conversations"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontaminate, op2_ngram_lm, op3_secrets, op4_chat, op5_toxicity, op6_langid, op7_ann, op8_packing, op9_bitpack, op10_hyperminhash, op11_licenses, op12_repair]
+    found = [op1_decontaminate, op2_ngram_lm, op3_secrets, op4_chat, op5_toxicity, op6_langid, op7_ann, op8_packing, op9_bitpack, op10_hyperminhash, op11_licenses, op12_repair, op13_prefix_trie]
     return {f.__name__: f for f in found}
 
 
