@@ -177,3 +177,29 @@ def rebuilt_trie(conversations: DataFrame) -> DataFrame:
     """The trie of all conversations of (conv_id, turn, role, text) after ``rebuild``."""
     scratch = Scratch(conversations.sparkSession, "turns")
     return prefix_trie(*rebuild(scratch.table(turns_of(conversations), "turns")))
+
+
+ORACLE_SQL = """
+WITH own AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'words': coalesce("text", '')} ORDER BY turn NULLS FIRST, role, "text") AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), coded AS (
+  SELECT *, (4294967295 - list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT for x in string_split(CAST(c AS VARCHAR), '')]),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 9 AS h FROM own
+), rebuilt AS (
+  SELECT o.c, list_concat(coalesce(p.turns[1:CAST(o.h AS INT)], []), o.turns[CAST(o.h AS INT) + 1:]) AS turns FROM coded o LEFT JOIN own p ON p.c = o.c - o.c % 5
+), starts AS (
+  SELECT c, len(turns) AS n, d, turns[1:d] AS node FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(node[d].words) END AS saved FROM starts GROUP BY node, d
+), childless AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n
+  LEFT JOIN (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2) k ON k.d = n.d AND k.node = n.node
+), below AS (
+  SELECT node[1:a] AS node, a AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT node, saved, n_children, unnest(range(d + 1)) AS a FROM childless) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM childless n JOIN below b ON b.d = n.d AND b.node = n.node LEFT JOIN nodes p ON p.d = n.d - 1 AND p.node = n.node[1:n.d - 1]
+"""

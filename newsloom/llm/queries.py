@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op12_repair": repair.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}

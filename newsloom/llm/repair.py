@@ -380,3 +380,58 @@ def repair_damaged(conversations: DataFrame) -> DataFrame:
     """The digest of every conversation of (conv_id, turn, role, text) after damage and repair."""
     scratch = Scratch(conversations.sparkSession, "repair")
     return digest(scratch.table(repair(damage(conversations), F.col("absent")), "edits"))
+
+
+# The same repair as a search over four states (empty, s, u, a): each the least (cost, audit, text) per row, inserts first.
+_CRC = """(4294967295 - list_reduce(list_prepend(4294967295, [ascii(c)::BIGINT for c in string_split({0}, '')]),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
+
+ORACLE_SQL = f"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS k, turn, coalesce(role, ' ') AS role, coalesce("text", ' ') AS words,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations
+), coded AS (SELECT *, {_CRC.format("place")} % 20 AS code FROM given),
+hurt AS (
+  SELECT k, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(words, '[.!?]', '', 'g') ELSE words END AS words,
+    unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, words) AS n,
+    row_number() OVER (PARTITION BY k, role, words ORDER BY turn NULLS FIRST) > 1 AS seen,
+    regexp_replace(words, '[\\x20\\x09-\\x0D]', '', 'g') AS ink FROM hurt
+), judged AS (
+  SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN NOT regexp_matches(ink, '[.!?]$') THEN 'truncated' END AS fault,
+    lag(role) OVER (PARTITION BY k ORDER BY n) AS earlier FROM numbered
+), walk AS (
+  SELECT DISTINCT k, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS e, {{'c': 1000000000::BIGINT, 'a': '', 't': ''}} AS s,
+    {{'c': 1000000000::BIGINT, 'a': '', 't': ''}} AS u, {{'c': 1000000000::BIGINT, 'a': '', 't': ''}} AS a FROM given
+  UNION ALL
+  SELECT k, n, {{'c': e.c + 2, 'a': e.a || 'D', 't': e.t}},
+    CASE WHEN must OR i <> 's' THEN {{'c': s.c + 2, 'a': s.a || 'D', 't': s.t}}
+      ELSE least({{'c': s.c + 2, 'a': s.a || 'D', 't': s.t}}, {{'c': e.c + extra, 'a': e.a || 'K', 't': e.t || line}}) END,
+    CASE WHEN must THEN {{'c': u.c + 2, 'a': u.a || 'D', 't': u.t}}
+      ELSE least({{'c': u.c + 2, 'a': u.a || 'D', 't': u.t}}, {{'c': p.c + extra + CASE WHEN i = 'u' THEN 0 ELSE 1 END, 'a': p.a || CASE WHEN i = 'u' THEN 'K' ELSE 'R' END,
+        't': p.t || CASE WHEN i = 'u' THEN line ELSE chr(10) || 'user:' || words END}}) END,
+    CASE WHEN must THEN {{'c': a.c + 2, 'a': a.a || 'D', 't': a.t}}
+      ELSE least({{'c': a.c + 2, 'a': a.a || 'D', 't': a.t}}, {{'c': q.c + extra + CASE WHEN i = 'a' THEN 0 ELSE 1 END, 'a': q.a || CASE WHEN i = 'a' THEN 'K' ELSE 'R' END,
+        't': q.t || CASE WHEN i = 'a' THEN line ELSE chr(10) || 'assistant:' || words END}}) END
+  FROM (
+    SELECT *, least(e, s, {{'c': m.c, 'a': m.a, 't': m.t}}) AS p FROM (
+      SELECT *, least(a, {{'c': q.c + 5, 'a': q.a || 'I', 't': q.t || chr(10) || 'assistant:'}}) AS m FROM (
+        SELECT w.k, j.n, w.e, w.s, w.u, w.a, j.words, left(j.role, 1) AS i, chr(10) || j.role || ':' || j.words AS line,
+          coalesce(j.fault IN ('blank', 'duplicate'), false) AS must, CASE WHEN j.fault = 'truncated' THEN 5 ELSE 0 END AS extra,
+          least(w.u, {{'c': least(w.e, w.s, w.a).c + 5, 'a': least(w.e, w.s, w.a).a || 'I', 't': least(w.e, w.s, w.a).t || chr(10) || 'user:'}}) AS q
+        FROM walk w JOIN judged j ON j.k = w.k AND j.n = w.n + 1))) x
+), last AS (
+  SELECT k, least(e, a, {{'c': q.c + 5, 'a': q.a || 'I', 't': q.t || chr(10) || 'assistant:'}}) AS best FROM (
+    SELECT *, least(u, {{'c': least(e, s, a).c + 5, 'a': least(e, s, a).a || 'I', 't': least(e, s, a).t || chr(10) || 'user:'}}) AS q
+    FROM walk WHERE n = (SELECT count(*) FROM judged WHERE judged.k = walk.k))
+), counted AS (
+  SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (earlier IS NOT NULL AND left(earlier, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY k
+)
+SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM given) g JOIN last USING (k) LEFT JOIN counted USING (k)
+"""
