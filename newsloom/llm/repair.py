@@ -301,7 +301,7 @@ def repair(turns: DataFrame, absent: Column | None = None) -> DataFrame:
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), *own, F.coalesce(absent if absent is not None else F.lit(False), F.lit(False)).alias("absent"))
     first = Window.partitionBy("conv_id", "role", "text", "absent").orderBy("turn")
     marked = rows.repartition("conv_id").withColumn("seen", F.row_number().over(first) > 1)
-    ordered = marked.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "text", "seen", "absent")
+    ordered = marked.sortWithinPartitions("conv_id", "turn", "role", "text", "seen").select("conv_id", "turn", "role", "text", "seen", "absent")
     return ordered.mapInArrow(_repair, f"conv_id {kind}, {EDITS}")
 
 
@@ -397,10 +397,9 @@ hurt AS (
     unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded
 ), numbered AS (
   SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, words) AS n,
-    row_number() OVER (PARTITION BY k, role, words ORDER BY turn NULLS FIRST) > 1 AS seen,
     regexp_replace(words, '[\\x20\\x09-\\x0D]', '', 'g') AS ink FROM hurt
 ), judged AS (
-  SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN NOT regexp_matches(ink, '[.!?]$') THEN 'truncated' END AS fault,
+  SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, words ORDER BY n) > 1 THEN 'duplicate' WHEN NOT regexp_matches(ink, '[.!?]$') THEN 'truncated' END AS fault,
     lag(role) OVER (PARTITION BY k ORDER BY n) AS earlier FROM numbered
 ), walk AS (
   SELECT DISTINCT k, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS e, {{'c': 1000000000::BIGINT, 'a': '', 't': ''}} AS s,
