@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.runtime import Scratch, ship
-from newsloom.operators.grouping import sliced_row_number
 
 SLICE = 512
 IDS_PER_PART = 4096
@@ -33,6 +32,8 @@ KEY = ["depth", "k1", "k2"]
 
 def turns_of(conversations: DataFrame) -> DataFrame:
     """(conv_id, place from 0, digest, bytes) of the turns of (conv_id, turn, role, text), in order."""
+    from newsloom.operators.grouping import sliced_row_number  # on the driver only; workers have this package alone
+
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), text.alias("text"))
     part = F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 62)))
