@@ -6,25 +6,31 @@
    as its number of leading zeros (6 bits) and the 10 bits after the leading one. Small sets use fewer
    registers per permutation and more permutations, so that a band always rests on several shingles; sets
    near the border between two such levels have registers on both.
-3. Bands of 8 registers are hashed; classes with an equal band meet. At similarity 0.85 a pair misses all
-   64 bands with a probability of about 1e-9.
-4. Classes that meet are not all paired. Each class is first held against the best connected member of
-   its bands; then only classes that are still in different components meet, at the latest after
-   ``STAR_ROUNDS`` rounds, or as soon as such pairs are few. Pairs inside one component can't change any
-   result, so nothing is lost. Large bands are compared there in blocks of registers, in numpy; a pair is
-   looked at only in its first common band, and only if it shares ``LEAST_BANDS`` bands (a pair at the
-   threshold shares 17 of 64 on average, fewer than three with a probability of 3e-7).
+3. Registers are hashed in bands; classes with an equal band meet. ``banding`` takes the longest bands of which a pair at
+   the threshold shares ``LEAST_BANDS`` or more, but for one pair in a million: 64 bands of 8 registers and 3 of them at
+   0.85, 85 bands of 6 and 5 of them at 0.8. That many common bands are asked of every pair, whatever the sizes of its bands
+   (sets below ``SPARSE`` shingles: one).
+4. A class is one row with the array of its shared bands; labels are joined once per class, and only bands that still hold
+   different components, and classes in them, go on to the next round. Classes that meet are not all paired. Each class is
+   first held against the best connected member of its bands; then only classes that are still in different components
+   meet. Pairs inside one component can't change any result, so nothing is lost. In light bands, where at most
+   ``PAIRS_PER_PLACE`` members are outside the largest component, these few are joined with all; heavy bands are compared
+   in blocks of registers, in numpy, and a pair is looked at only in its first common heavy band.
 5. A pair first has its similarity estimated from the registers, corrected for registers that agree by
    chance; pairs far below the threshold (over five standard errors) go. The rest is confirmed on full sets.
 6. Components by smallest-label propagation over written tables; component_id is the smallest doc_id.
 
 Defined cases: null, empty or blank text: empty set, linked with nothing. Null doc_id: linked with nothing,
 ``component_id`` null, ``kept`` false. Rows that repeat a doc_id with different texts are separate members
-of the components. Other columns are ignored.
+of the components. ``deduplicate`` keeps of each component the row with the smallest (doc_id, text), once if it is
+repeated; rows without words or without a doc_id stay. Other columns are ignored, and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -38,12 +44,11 @@ REGISTERS = 512
 LOWEST_BITS = 4
 HIGHEST_BITS = 9
 MANTISSA_BITS = 10
-ROWS_PER_BAND = 8
-STAR_ROUNDS = 2
+MISSES = 1e-6
+STAR_ROUNDS = 1
 ERRORS = 5
 LEAST_BANDS = 3
 SPARSE = 32
-SMALL_BAND = 12
 BLOCK = 1024
 PAIRS_PER_PLACE = 4
 MEMBERS_PER_SLICE = 64
@@ -78,15 +83,30 @@ def registers(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.where(least == _NONE, np.uint16(0), out).reshape(len(sets), REGISTERS)
 
 
-def band_keys(regs: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The hash of every band; 0 where no register is in use."""
+@functools.cache
+def banding(threshold: float) -> tuple[int, int]:
+    """Registers a band, and the bands that a pair must share: fewer are shared at the threshold with a probability below ``MISSES``."""
+    for rows in range(16, 1, -1):
+        bands, equal = REGISTERS // rows, threshold**rows
+        least, missed = 0, (1 - equal) ** bands
+        while missed <= MISSES:
+            least += 1
+            missed += math.comb(bands, least) * equal**least * (1 - equal) ** (bands - least)
+        if least >= LEAST_BANDS:
+            return rows, least
+    return 1, 1
+
+
+def band_keys(regs: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every band of ``size`` registers; 0 where no register is in use."""
     rows = len(regs)
-    bands = REGISTERS // ROWS_PER_BAND
-    cells = regs.reshape(rows, bands, ROWS_PER_BAND).astype(np.uint64)
-    place = mix(np.arange(1, ROWS_PER_BAND + 1, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
+    bands = REGISTERS // size
+    cells = regs[:, : bands * size].reshape(rows, bands, size).astype(np.uint64)
+    place = mix(np.arange(1, size + 1, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)) | _U(1)
     total = (cells * place).sum(axis=2, dtype=np.uint64)
     number = np.arange(1, bands + 1, dtype=np.uint64)[None, :] + (bits.astype(np.uint64) << _U(32))[:, None]
     keys = mix(total + number * _U(0x9E3779B97F4A7C15))
+    keys = (keys & ~_U(7)) | (bits.astype(np.uint64) - _U(LOWEST_BITS))[:, None]  # the last bits tell the level
     return np.where(cells.any(axis=2), keys, _U(0))
 
 
@@ -142,8 +162,8 @@ def _describe(threshold: float):
                     for i, regs in zip(part, registers([sets[i] for i in part], b), strict=True):
                         found[i].append({"bits": b, "registers": regs.tobytes()})
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(names, pa.binary()), pa.array(list(found.values()), _SKETCH)],
-                names=["doc_id", "n_shingles", "mark", "sketches"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(names, pa.binary()), pa.array(list(found.values()), _SKETCH)],
+                names=["doc_id", "key", "n_shingles", "mark", "sketches"],
             )
 
     return describe
@@ -153,55 +173,88 @@ def _rows_of(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
 
 
-def _bands(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            keys = band_keys(_rows_of(part.column("registers")), part.column("bits").to_numpy())
-            row, band = np.nonzero(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band].view(np.int64)), part.column("class").take(pa.array(row))], names=["band", "class"])
+def _bands(size: int):
+    def bands(batches):
+        """Per class the keys of all its bands, on one or two levels."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                column = part.column("sketches")
+                each = column.flatten()
+                owner = np.repeat(np.arange(len(part)), np.diff(column.offsets.to_numpy()))
+                keys = band_keys(_rows_of(each.field("registers")), each.field("bits").to_numpy(), size)
+                row, band = np.nonzero(keys)
+                edges = np.searchsorted(owner[row], np.arange(len(part) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(keys[row, band].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("class"), lists], names=["class", "keys"])
+
+    return bands
+
+
+def _several(keys_a: np.ndarray, keys_b: np.ndarray, n_a, n_b, least: int) -> np.ndarray:
+    """Whether pairs share enough bands."""
+    same = ((keys_a == keys_b) & (keys_a != 0)).sum(axis=1)
+    return same >= np.where(np.minimum(n_a, n_b) < SPARSE, 1, least)
 
 
 def _plausible(threshold: float):
+    size, least = banding(threshold)
+
     def keep(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 n_a, n_b = (part.column(c).to_numpy() for c in ("n_a", "n_b"))
-                good = near_enough(_rows_of(part.column("regs_a")), _rows_of(part.column("regs_b")), n_a, n_b, part.column("bits").to_numpy(), threshold)
+                bits, a, b = part.column("bits").to_numpy(), _rows_of(part.column("regs_a")), _rows_of(part.column("regs_b"))
+                good = _several(band_keys(a, bits, size), band_keys(b, bits, size), n_a, n_b, least) & near_enough(a, b, n_a, n_b, bits, threshold)
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
     return keep
 
 
 def _block(threshold: float):
-    def pairs(key, table):
-        """Two slices of one large band: pairs of different labels that are plausible, each in its first common band only."""
-        band, left, right = (k.as_py() for k in key)
+    size, least = banding(threshold)
+
+    def pairs(band: int, left: int, table: pa.Table) -> pa.RecordBatch:
+        """Slice ``left`` of one heavy band and another one: pairs of different labels that are plausible, each in its first common heavy band only."""
         names, label, n, bits, slot = (table[c].to_numpy() for c in ("class", "label", "n_shingles", "bits", "slice"))
         regs = _rows_of(table["registers"])
-        keys = band_keys(regs, bits)
+        keys = band_keys(regs, bits, size)
+        heavy = np.isin(keys, np.unique(pa.compute.list_flatten(table["heavy"]).to_numpy()).view(np.uint64))
         here = np.array([band], dtype=np.int64).view(np.uint64)[0]
-        members = np.flatnonzero((keys == here).any(axis=1))  # a class near a border of levels has two sketches
-        names, label, n, bits, slot, regs, keys = (x[members] for x in (names, label, n, bits, slot, regs, keys))
-        found_a, found_b = [], []
-        other = np.flatnonzero(slot == right)
+        found_a, found_b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        other = np.flatnonzero(slot != left) if (slot != left).any() else None
         for i in np.flatnonzero(slot == left):
-            with_i = other[other > i] if left == right else other
+            with_i = other if other is not None else np.arange(i + 1, len(names))
             with_i = with_i[(label[with_i] != label[i]) & (np.minimum(n[with_i], n[i]) >= threshold * np.maximum(n[with_i], n[i]) - 1e-9)]
             if not len(with_i):
                 continue
-            same = (keys[with_i] == keys[i]) & (keys[i] != 0)
-            first = keys[i][same.argmax(axis=1)] == here
-            several = (same.sum(axis=1) >= LEAST_BANDS) | (np.minimum(n[with_i], n[i]) < SPARSE)
-            with_i = with_i[first & several]
+            own = np.broadcast_to(keys[i], (len(with_i), keys.shape[1]))
+            first = keys[i][((keys[with_i] == own) & heavy[i]).argmax(axis=1)] == here
+            with_i = with_i[first & _several(own, keys[with_i], n[i], n[with_i], least)]
             if len(with_i):
                 good = near_enough(np.broadcast_to(regs[i], (len(with_i), REGISTERS)), regs[with_i], np.full(len(with_i), n[i]), n[with_i], bits[with_i], threshold)
-                found_a += [names[i]] * int(good.sum())
-                found_b += names[with_i[good]].tolist()
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+                found_a.append(np.full(int(good.sum()), names[i]))
+                found_b.append(names[with_i[good]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a), pa.int64()), pa.array(np.concatenate(found_b), pa.int64())], names=["a", "b"])
+
+    def blocks(batches):
+        """Rows arrive in order of band and slices; one block of at most two slices is held at a time."""
+        key, held = None, []
+        for batch in batches:
+            ids = np.stack([batch.column(c).to_numpy() for c in ("band", "left", "right")])
+            edges = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    if key != (now := tuple(ids[:, a].tolist())):
+                        if held:
+                            yield pairs(key[0], key[1], pa.Table.from_batches(held))
+                        key, held = now, []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield pairs(key[0], key[1], pa.Table.from_batches(held))
 
-    return pairs
+    return blocks
 
 
 def _confirm(percent: int):
@@ -230,19 +283,16 @@ def _confirm(percent: int):
     return check
 
 
-def _sketches(classes: DataFrame) -> DataFrame:
-    return classes.select("class", "n_shingles", F.explode("sketches").alias("s")).select("class", "n_shingles", "s.bits", "s.registers")
+def _sketches(classes: DataFrame, *more: str) -> DataFrame:
+    return classes.select("class", "n_shingles", *more, F.explode("sketches").alias("s")).select("class", "n_shingles", *more, "s.bits", "s.registers")
 
 
 def _near(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sizes and registers allow the threshold."""
-    described = _sketches(classes).select("class", "bits", "n_shingles", "registers")
-    sized = classes.select("class", "n_shingles")
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    """Of pairs (a, b, n_a, n_b), those whose registers allow the threshold."""
+    described = _sketches(classes).select("class", "bits", "registers")
     # the smaller set's own level; the larger one has registers there as well
     bits = F.greatest(F.lit(LOWEST_BITS), F.least(F.lit(HIGHEST_BITS), F.floor(F.log2(F.least("n_a", "n_b"))).cast("int") - 1))
-    pairs = pairs.join(sized.toDF("a", "n_a"), "a").join(sized.toDF("b", "n_b"), "b").where(fits).withColumn("bits", bits).drop("n_a", "n_b")
-    rows = pairs.join(described.toDF("a", "bits", "n_a", "regs_a"), ["a", "bits"]).join(described.toDF("b", "bits", "n_b", "regs_b"), ["b", "bits"])
+    rows = pairs.withColumn("bits", bits).join(described.toDF("a", "bits", "regs_a"), ["a", "bits"]).join(described.toDF("b", "bits", "regs_b"), ["b", "bits"])
     return rows.mapInArrow(_plausible(percent / 100), "a long, b long")
 
 
@@ -260,97 +310,147 @@ def _links(scratch: Scratch, docs: DataFrame, classes: DataFrame, near: DataFram
     ids = scratch.table(needs.select("doc_id").distinct(), "ids")
     texts = docs.select("doc_id", "text").join(scratch.small(ids, 2 << 20), "doc_id", "left_semi").join(needs, "doc_id")
     found = texts.select("a", "slice", "class", "mark", "hub", "text").groupBy("a", "slice").applyInArrow(_confirm(percent), "a long, b long")
-    return scratch.table(found, "links").distinct()
+    links = scratch.table(found.distinct(), "links")
+    for table in (sliced, needs, ids):
+        scratch.drop(table)
+    return links
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Smallest member of each component for all ends of ``edges`` (a, b): columns class, label."""
     both = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = scratch.table(both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    labels = scratch.table(both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.lit(0).cast("long").alias("old")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "class").select("class", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("class").alias("label"), F.col("label").alias("further"))
+        now = labels.select("class", "label")
+        near = both.join(now.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("label").alias("near"))
+        lower = now.join(near, "class").select("class", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        jump = now.select(F.col("class").alias("label"), F.col("label").alias("further"))
         step = scratch.table(lower.join(jump, "label", "left").select("class", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "labels")
-        labels = step.select("class", "label")
+        scratch.drop(labels)
+        labels = step
         if step.where("label <> old").isEmpty():
-            return labels
+            scratch.drop(both)
+            return step.select("class", "label")
 
 
-def _of(labels: DataFrame | None, members: DataFrame) -> DataFrame:
+def _of(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """``rows``, one per class, with the class's label: its own number until it has links."""
     if labels is None:
-        return members.withColumn("label", F.col("class"))
-    return members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        return rows.withColumn("label", F.col("class"))
+    return rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+
+def _open(scratch: Scratch, held: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Bands that hold several labels, and the rows (band, class) in them."""
+    rows = scratch.table(_of(labels, held).select("class", "label", "degree", "n_shingles", F.explode("bands").alias("band")), "rows")
+    spread = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "class", "n_shingles")).alias("top"))
+    found = spread.groupBy("band").agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.max(F.struct("top", "label")).alias("best")
+    ).where("labels > 1")
+    pivot = F.struct(F.col("best.top.degree").alias("degree"), F.col("best.top.class").alias("class"), F.col("best.top.n_shingles").alias("n"), F.col("best.label").alias("label"))
+    open_bands = scratch.table(found.select("band", pivot.alias("pivot"), F.col("most.label").alias("main"), F.expr("size - most.n").alias("others"), "size"), "open")
+    here = scratch.table(rows.join(open_bands, "band"), "here")
+    scratch.drop(rows)
+    return open_bands, here
+
+
+def _every_pair(here: DataFrame, sketched: DataFrame, percent: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Every pair across labels: (a, b, n_a, n_b) out of light bands, whose pairs are at most a few per place, and (a, b) out of blocks of heavy ones."""
+    light = f"others <= {PAIRS_PER_PLACE}"
+    x, y = (here.where(light).select("band", "main", F.col("class").alias(k), F.col("label").alias(f"label_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in ("a", "b"))
+    met = x.where("label_a <> main").join(y.drop("main"), "band").where("label_a <> label_b and (label_b = main or a < b)").where(_fits(percent))
+    swap = F.col("a") > F.col("b")
+    ends = {c: F.when(swap, F.col(c[:-1] + "ba"[c[-1] == "b"])).otherwise(F.col(c)) for c in ("a", "b", "n_a", "n_b")}
+    pairs = met.select(*(v.alias(c) for c, v in ends.items())).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    pairs = pairs.where(f"common >= {least} or least(n_a, n_b) < {SPARSE}").drop("common")
+    # a class meets its registers once, then goes to its heavy bands; at most the bands of a class
+    heavy = here.where(f"not {light}").groupBy("class").agg(
+        F.first("label").alias("label"), F.collect_list(F.struct("band", F.expr(f"cast(ceil(size / {BLOCK}.0) as int)").alias("slices"))).alias("heavy")
+    )
+    rows = _sketches(heavy.join(sketched, "class"), "label", "heavy")
+    rows = rows.select("class", "label", "n_shingles", "bits", "registers", F.col("heavy.band").alias("heavy"), F.explode("heavy").alias("at"))
+    rows = rows.where(f"(at.band & 7) + {LOWEST_BITS} = bits").withColumn("slice", F.expr("cast(pmod(xxhash64(class), at.slices) as int)"))
+    rows = rows.select("*", F.col("at.band").alias("band"), F.explode(F.expr("sequence(0, at.slices - 1)")).alias("with")).drop("at")
+    rows = rows.withColumn("left", F.least("slice", "with").cast("long")).withColumn("right", F.greatest("slice", "with").cast("long"))
+    ordered = rows.drop("with").repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
+    return pairs, ordered.mapInArrow(_block(percent / 100), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wide = scratch.table(docs.mapInArrow(_describe(percent / 100), f"doc_id long, n_shingles long, mark binary, sketches {_SKETCHES}"), "wide")
-    rows = scratch.table(wide.drop("sketches"), "rows")
+def _fits(percent: int) -> str:
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+
+
+def _stars(here: DataFrame, percent: int, first: bool) -> DataFrame:
+    """(a, b, n_a, n_b): classes b against the best connected member of their bands; of all their bands in the first round."""
+    rows = here.where("label <> pivot.label").select("class", "n_shingles", "pivot")
+    if first:
+        rows = rows.groupBy("class").agg(F.max("pivot").alias("pivot"), F.first("n_shingles").alias("n_shingles"))
+    return rows.select(F.col("pivot.class").alias("a"), F.col("class").alias("b"), F.col("pivot.n").alias("n_a"), F.col("n_shingles").alias("n_b")).distinct().where(_fits(percent))
+
+
+def _grouped(scratch: Scratch, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n_shingles, mark) of ``docs`` (doc_id, text, key), and the component of each mark (mark, label, first_id)."""
+    size, least = banding(percent / 100)
+    wide = scratch.table(docs.mapInArrow(_describe(percent / 100), f"doc_id long, key string, n_shingles long, mark binary, sketches {_SKETCHES}"), "wide")
+    rows = scratch.table(wide.drop("sketches"), "marks")
     linkable = wide.where("mark is not null and doc_id is not null")
     classes = scratch.table(
         linkable.groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches"))
         .withColumn("class", F.monotonically_increasing_id()), "classes",
     )
     scratch.drop(wide)
-    bands = classes.select("class", F.explode("sketches").alias("s")).select("class", "s.*").mapInArrow(_bands, "band long, class long")
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.table(bands.join(shared, "band"), "members")
-    degree = members.groupBy("class").agg(F.sum("size").alias("degree"))
-    members = scratch.table(members.drop("size").join(degree, "class"), "ranked")
+    keyed = scratch.table(classes.select("class", "sketches").mapInArrow(_bands(size), "class long, keys array<bigint>"), "bands")
+    single = keyed.select("class", F.explode("keys").alias("band"))
+    shared = single.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = single.join(shared, "band").groupBy("class").agg(F.collect_list("band").alias("bands"), F.sum("size").alias("degree"))
+    held = scratch.table(met, "held")
+    scratch.drop(keyed)
+    # from here on registers are needed of classes that meet others only
+    sketched = scratch.table(classes.select("class", "n_shingles", "sketches").join(scratch.small(scratch.table(held.select("class"), "ids")), "class", "left_semi"), "sketched")
+    names = scratch.table(classes.drop("sketches"), "names")
+    scratch.drop(classes)
+    held = scratch.table(held.join(sketched.select("class", "n_shingles"), "class"), "held")
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     stars = 0
     while True:
-        spread = _of(labels, members).groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "class")).alias("top"))
-        open_bands = scratch.table(
-            spread.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.max(F.struct("top", "label")).alias("best"))
-            .where("labels > 1")
-            .select("band", F.col("most.label").alias("main"), F.col("best.top.class").alias("pivot"), F.col("best.top.degree").alias("pivot_degree"),
-                    F.col("best.label").alias("pivot_label"), F.expr("(size - most.n) * size").alias("cost"), "size"),
-            "open",
-        )
-        total, places = open_bands.agg(F.sum("cost"), F.sum("size")).first()
-        if not total:
+        open_bands, here = _open(scratch, held, labels)
+        heavy = open_bands.agg(F.expr(f"count_if(others > {PAIRS_PER_PLACE})"), F.count(F.lit(1))).first()
+        scratch.drop(open_bands)
+        if not heavy[1]:
             break
-        here = _of(labels, members).join(open_bands, "band")
-        last = total <= PAIRS_PER_PLACE * places or stars >= STAR_ROUNDS
-        if last:
-            # every pair across components meets: in small bands by a join, in large ones block by block
-            few = here.where(f"size <= {SMALL_BAND}")
-            left = few.select("band", F.col("class").alias("a"), F.col("label").alias("label_a"))
-            right = few.select("band", F.col("class").alias("b"), F.col("label").alias("label_b"))
-            pairs = left.join(right, "band").where("label_a <> label_b and a < b").select("a", "b").distinct()
-            many = here.where(f"size > {SMALL_BAND}").withColumn("slices", F.expr(f"cast(ceil(size / {BLOCK}.0) as int)"))
-            many = many.withColumn("slice", F.expr("cast(pmod(xxhash64(class), slices) as int)"))
-            many = many.select("band", "class", "label", "slice", F.explode(F.expr("sequence(0, slices - 1)")).alias("with"))
-            many = many.withColumn("left", F.least("slice", "with")).withColumn("right", F.greatest("slice", "with"))
-            blocks = many.join(_sketches(classes), "class").groupBy("band", "left", "right").applyInArrow(_block(percent / 100), "a long, b long")
-        else:
-            # the best connected member of a band against the members of other components
-            pairs = here.where("label <> pivot_label")
-            if labels is None:  # one pivot per class: the best connected of all its bands
-                pairs = pairs.groupBy("class").agg(F.max(F.struct("pivot_degree", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("class").alias("b"))
-            else:
-                pairs = pairs.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+        last = not heavy[0] or stars >= STAR_ROUNDS
+        pairs, blocks = _every_pair(here, sketched, percent, least) if last else (_stars(here, percent, labels is None), None)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        if not last:
-            pairs = scratch.table(pairs, "pairs")
-        near = _near(classes, pairs, percent)
-        found = _links(scratch, docs, classes, near.union(blocks) if last else near, percent)
+        pairs = scratch.table(pairs, "pairs")
+        near = _near(sketched, pairs, percent)
+        found = _links(scratch, docs, names, near.union(blocks) if last else near, percent)
         links = found if links is None else links.union(found)
         labels = components(scratch, links)
         if last:
             break
-        tested = pairs if tested is None else tested.union(pairs)
+        # only classes of open bands, with these bands, are looked at again
+        next_held = here.groupBy("class").agg(F.collect_list("band").alias("bands"), F.first("degree").alias("degree"), F.first("n_shingles").alias("n_shingles"))
+        next_held = scratch.table(next_held, "held")
+        for table in (held, here):
+            scratch.drop(table)
+        held = next_held
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         stars += 1
-    smallest = _of(labels, classes.select("class", "mark", "first_id")).select("mark", "label", "first_id")
+    return rows, _of(labels, names.select("class", "mark", "first_id")).select("mark", "label", "first_id")
+
+
+def _source(docs: DataFrame, key) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    scratch = Scratch(docs.sparkSession, "near")
+    rows, smallest = _grouped(scratch, _source(docs, F.lit(None).cast("string")), percent)
     least = smallest.groupBy("label").agg(F.min("first_id").alias("smallest"))
     named = rows.join(smallest.join(least, "label").select("mark", "smallest"), "mark", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("smallest", "doc_id"))
@@ -358,3 +458,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         named.withColumn("component_id", own)
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     )
+
+
+def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component left; all columns stay."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    key = F.md5(F.col("text").cast("string").cast("binary"))
+    rows, smallest = _grouped(scratch, _source(docs, key), percent)
+    members = scratch.table(rows.where("doc_id is not null and mark is not null").join(smallest, "mark").select("doc_id", "key", "label"), "members")
+    chosen = members.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # rows that go, or of which one goes; a row is known by its id and text
+    judged = members.join(chosen, "label").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"), F.max(F.expr("best.doc_id = doc_id and best.key = key")).alias("stays"))
+    judged = scratch.table(judged.where("not stays or times > 1"), "judged")
+    names = {c: f"_{c}_{'_' * max(map(len, docs.columns))}" for c in ("doc_id", "key")}  # longer than any column's name
+
+    def of(part: DataFrame, how: str) -> DataFrame:
+        part = scratch.small(scratch.table(part.select(*(F.col(c).alias(n) for c, n in names.items())), "part"))
+        return docs.join(part, (docs["doc_id"].cast("long") == part[names["doc_id"]]) & (F.md5(docs["text"].cast("string").cast("binary")) == part[names["key"]]), how)
+
+    once = of(judged, "left_anti")
+    return once.unionByName(of(judged.where("stays"), "left_semi").dropDuplicates(["doc_id", "text"]))
