@@ -1,36 +1,51 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff.
 
-Words and word pairs of a bounded sample of labelled texts (``SAMPLE`` per class, those with the smallest
-hash of their id) are counted per class. The lowest level is shared: it rests on the number of different
-words that precede a word, over both classes, so an expression that is rare in the sample has the same
-probability under either class. Every expression counts, however rare: its log ratio of the two classes is weighted
-between its own and that of the level below it (a word's for a pair, 0 for a word) by how far its class counts are
-from what both classes share, ``z² / (z² + DOUBT)`` in standard deviations z. A text's two log-likelihoods are divided by its length and compared; a logistic
-curve turns the difference into a score; it is fitted on one in ``APART`` texts of the sample, which the
-counts leave out, weighted to the labels' real proportion.
-
-Defined cases: null, empty or blank text: the score of a difference of zero. Labels that are null or not
-0/1 teach nothing; a doc_id labelled twice counts by its largest label. With one class only, or none, every
-text gets that class's proportion (0 without labels).
+Words (runs of letters, digits and characters beyond ASCII, A-Z lowered) and word pairs of a bounded sample of labelled
+texts are counted per class. Either class's model takes an absolute discount off its own counts (three per order and class,
+out of its counts of counts) and gives the discounted mass, and ``strength`` times as much as all of its own, to the counts
+of both classes together: of a word that is rare in both, nearly all of the probability is the same in both models and
+cancels, while a word of one class differs however rare it is. A pair backs off to the pooled pair times what its two words say.
+A text's two log-likelihoods, of each word after the one before, are divided by its length and compared.
+
+``strength`` is chosen out of ``STRENGTHS`` by the area under the curve on one in ``APART`` texts of the sample, which the
+counts leave out; pairs have ``PAIRS`` times as much. On the same texts, weighted to the labels' real proportion, a rising
+curve (isotonic regression, interpolated) turns the difference into a score. Nothing is chosen on held-out labels.
+
+The sample: per class the ``SAMPLE`` labelled texts with the smallest hash of their id, in that order until they have
+``SAMPLE_CHARS`` characters. Defined cases: null, empty or wordless text: the score of a difference of zero. Labels that are
+null or not 0/1 teach nothing; a doc_id labelled twice counts by its largest label; a null doc_id is scored and teaches
+nothing; repeated rows are scored alike and teach as often as they stand there. With one class only, or none, every text
+gets that class's proportion (0 without labels). An empty table gives no rows; other columns are ignored, whatever their
+names; a text is never cut.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.runtime import Scratch, ship
-from newsloom.llm.tokens import mix, slices, words
+from newsloom.llm.tokens import mix, slices, span_hashes, utf8, word_bounds
 
 SAMPLE = 4000
-DOUBT = 100.0
+SAMPLE_CHARS = 12_000_000
 APART = 4
-DISCOUNT = 0.75
+STRENGTHS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
+PAIRS = 10.0
 
 _U = np.uint64
 _FIRST = _U(0x51ED270B7F4A7C15)
+_PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
+
+
+def words(arr) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a text column, and the number of words before each text."""
+    data, offsets = utf8(arr)
+    data = _PLAIN[data]
+    starts, ends, before = word_bounds(data, offsets)
+    return span_hashes(data, starts, ends), before
 
 
 def _pairs(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,30 +72,43 @@ def _count(batches):
             )
 
 
+def discounts(counts_of_counts: list[int]) -> np.ndarray:
+    """The discounts of counts 0, 1, 2 and above, from how many expressions have the counts 1 to 4."""
+    one, two, three, four = (max(float(x), 1.0) for x in counts_of_counts)
+    y = one / (one + 2 * two)
+    return np.array([0.0, *(np.clip(k - (k + 1) * y * after / own, 0.0, k) for k, own, after in ((1, one, two), (2, two, three), (3, three, four)))])
+
+
+def smoothed(n: list[np.ndarray], totals: list[float], taken: list[np.ndarray], spared: list[float], shared: list[np.ndarray], strength: float) -> list[np.ndarray]:
+    """Class probabilities: discounted counts, and the shared ones with ``strength`` and the discounted mass."""
+    out = []
+    for c in (0, 1):
+        off = np.minimum(taken[c][np.minimum(n[c], 3).astype(np.int64)], n[c])
+        out.append(((n[c] - off) / totals[c] + (spared[c] / totals[c] + strength) * shared[c]) / (1 + strength))
+    return out
+
+
 class Model:
     """Log-likelihood differences of words and pairs, toxic less ordinary, by sorted hash."""
 
-    def __init__(self, uni: dict, totals: dict):
-        n, kinds, all_left = totals["n"], totals["kinds"], max(totals["left"], 1)
-        shared = (uni["left"] + 0.5) / (all_left + 0.5 * (len(uni["w"]) + 1))
-        lam = [DISCOUNT * kinds[c] / max(n[c], 1) for c in (0, 1)]
-        p = [(np.maximum(uni["n"][c] - DISCOUNT, 0) / max(n[c], 1)) + lam[c] * shared for c in (0, 1)]
-        order = np.argsort(uni["w"])
-        self.words, self.n, self.word_p = uni["w"][order], n, [x[order] for x in p]
-        self.word = _weight(*(x[order] for x in uni["n"]), n) * np.log(self.word_p[1] / self.word_p[0])
+    def __init__(self, hashes: np.ndarray, n: list[np.ndarray], taken: list[np.ndarray], spared: list[float]):
+        order = np.argsort(hashes)
+        self.words, self.n, self.taken, self.spared = hashes[order], [x[order] for x in n], taken, spared
+        self.totals = [max(x.sum(), 1.0) for x in n]
         self.pairs, self.pair = np.empty(0, dtype=np.uint64), np.empty(0)
 
-    def pair_values(self, bi: dict) -> np.ndarray:
-        """The weighted log ratio of each pair."""
-        at = np.searchsorted(self.words, bi["w"])
-        found = []
-        for c in (0, 1):
-            context, follow, seen = (bi[k][c] for k in ("context", "follow", "n"))
-            lower = self.word_p[c][at]
-            rest = (np.maximum(seen - DISCOUNT, 0) + DISCOUNT * np.maximum(follow, 1) * lower) / np.maximum(context, 1)
-            found.append(np.where(context > 0, rest, lower))
-        lower = self.word[at]
-        return lower + _weight(*bi["n"], self.n) * (np.log(found[1] / found[0]) - lower)
+    def set_strength(self, strength: float) -> None:
+        shared = (self.n[0] + self.n[1]) / sum(self.totals)
+        p = smoothed(self.n, self.totals, self.taken, self.spared, [shared, shared], strength)
+        self.strength, self.ratio = strength, [x / shared for x in p]
+        self.word = np.log(p[1] / p[0])
+
+    def pair_values(self, v: np.ndarray, w: np.ndarray, n: list[np.ndarray], taken: list[np.ndarray], spared: list[float]) -> np.ndarray:
+        """The difference that each pair's second word makes after its first."""
+        shared = (n[0] + n[1]) / sum(self.totals)
+        lower = [shared * _look_up(v, self.words, r, 1.0) * _look_up(w, self.words, r, 1.0) for r in self.ratio]
+        p = smoothed(n, self.totals, taken, spared, lower, PAIRS * self.strength)
+        return np.log(p[1] / p[0]) - _look_up(v, self.words, self.word, 0.0)
 
     def difference(self, hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Mean over each text's words; 0 for a text without words."""
@@ -91,14 +119,6 @@ class Model:
         return (total[before[1:]] - total[before[:-1]]) / np.maximum(np.diff(before), 1)
 
 
-def _weight(n0: np.ndarray, n1: np.ndarray, totals: list) -> np.ndarray:
-    """The weight of an expression's own log ratio, from its class counts; 0 only where they are exactly those both classes share."""
-    share = totals[1] / max(totals[0] + totals[1], 1)
-    both = n0 + n1
-    square = (n1 - both * share) ** 2 / np.maximum(both * share * (1 - share), 1e-9)
-    return square / (square + DOUBT)
-
-
 def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwise) -> np.ndarray:
     if not len(known) or not len(keys):
         return np.broadcast_to(np.asarray(otherwise, dtype=np.float64), keys.shape)
@@ -110,82 +130,125 @@ def _u64(column) -> np.ndarray:
     return column.to_numpy().astype(np.int64).view(np.uint64)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a weighted logistic curve, by Newton's method with a small ridge."""
-    scale = x.std() or 1.0
-    a = np.stack([x / scale, np.ones_like(x)], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        slope = a.T @ (weight * (y - p)) - 1e-3 * beta
-        curve = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
-        step = np.linalg.solve(curve, slope)
-        beta += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(beta[0] / scale), float(beta[1])
+def area(x: np.ndarray, y: np.ndarray) -> float:
+    """The share of pairs of a toxic and an ordinary text in which the toxic one has the larger value; ties count half."""
+    values, rank, n = np.unique(x, return_inverse=True, return_counts=True)
+    below = np.cumsum(n) - n
+    good, bad = y == 1, y == 0
+    at = np.bincount(rank[bad], minlength=len(values))
+    return float((np.concatenate([[0], np.cumsum(at)])[rank[good]] + at[rank[good]] / 2).sum() / max(good.sum() * bad.sum(), 1)) if len(below) else 0.5
+
 
+def rising_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression by pooling neighbours: places and values of its blocks."""
+    blocks: list[list[float]] = []
+    for i in np.argsort(x, kind="stable"):
+        blocks.append([weight[i] * y[i], weight[i], weight[i] * x[i]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    table = np.array(blocks)
+    return table[:, 2] / table[:, 1], table[:, 0] / table[:, 1]
+
+
+def _chosen(known: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(text, toxic, apart) of the sample."""
+    # one top-k per class: each task keeps SAMPLE rows, so no task sorts a whole class
+    first, second = (known.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1))
+    found = docs.select("doc_id", "text").join(F.broadcast(first.unionByName(second)), "doc_id")  # 2 * SAMPLE ids
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("size")).groupBy("doc_id", "toxic").agg(F.sum("size").alias("size"))
+    within = sizes.withColumn("earlier", F.coalesce(F.sum("size").over(order), F.lit(0))).where(f"earlier < {SAMPLE_CHARS}").select("doc_id")
+    apart = F.expr(f"pmod(hash(doc_id), {APART}) = 0")
+    return scratch.table(found.join(F.broadcast(within), "doc_id").select("text", "toxic", apart.alias("apart")), "sample")
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Model | None, float, float]:
+
+def _counts_of_counts(table: DataFrame) -> list[list[int]]:
+    row = table.agg(*(F.count_if(F.col(f"n{c}") == k).alias(f"c{c}{k}") for c in (0, 1) for k in (1, 2, 3, 4)), *(F.count_if(F.col(f"n{c}") > 4).alias(f"m{c}") for c in (0, 1))).first()
+    return [[row[f"c{c}{k}"] for k in (1, 2, 3, 4)] + [row[f"m{c}"]] for c in (0, 1)]
+
+
+def _discounted(table: DataFrame) -> tuple[list[np.ndarray], list[float]]:
+    """Discounts of both classes, and the mass that they take."""
+    found = _counts_of_counts(table)
+    taken = [discounts(f[:4]) for f in found]
+    return taken, [float(d[1] * f[0] + d[2] * f[1] + d[3] * sum(f[2:])) for d, f in zip(taken, found, strict=True)]
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Model | None, tuple[np.ndarray, np.ndarray]]:
+    """The model, and the curve from differences to scores."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "toxicity")
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = scratch.table(known, "labels")
     real = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = real.get(1, 0) / max(sum(real.values()), 1)
+    flat = np.zeros(1), np.array([share])
     if len(real) < 2:
-        return None, 0.0, 30.0 if 1 in real else -30.0
-    # one top-k per class: each task keeps SAMPLE rows, so no task sorts a whole class
-    chosen, other = (known.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1))
-    chosen = chosen.unionByName(other)
-    sample = scratch.table(
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("apart", F.expr(f"pmod(hash(doc_id), {APART}) = 0")), "sample"
-    )  # 2 * SAMPLE ids
-    pairs = scratch.table(
-        sample.where("not apart").select("text", "toxic").mapInArrow(_count, "pair long, v long, w long, toxic int, n long").groupBy("pair", "v", "w").agg(
-            *(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1))
-        ),
-        "pairs",
-    )
-    each = pairs.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("left"))
-    t = each.agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"kinds{c}") for c in (0, 1)), F.sum("left").alias("left")).first()
-    if t["left"] is None:
-        return None, 0.0, float(np.log(real[1] / real[0]))
-    contexts = pairs.groupBy("v").agg(*(F.sum(f"n{c}").alias(f"c{c}") for c in (0, 1)), *(F.count_if(F.col(f"n{c}") > 0).alias(f"f{c}") for c in (0, 1)))
+        return None, flat
+    sample = _chosen(known, docs, scratch)
+    sides = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+    counted = sample.where("not apart").select("text", "toxic").mapInArrow(_count, "pair long, v long, w long, toxic int, n long")
+    pairs = scratch.table(counted.groupBy("pair", "v", "w").agg(*sides), "pairs")
+    each = scratch.table(pairs.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "words")
     u = each.toArrow()  # bounded by the sample
-    model = Model(
-        {"w": _u64(u["w"]), "left": u["left"].to_numpy().astype(np.float64), "n": _columns(u, "n")},
-        {"n": [t["n0"], t["n1"]], "kinds": [t["kinds0"], t["kinds1"]], "left": t["left"]},
-    )
+    if not u.num_rows:
+        return None, flat
+    model = Model(_u64(u["w"]), _columns(u, "n"), *_discounted(each))
+    # the strength, by words, on the texts that were left out
+    tried = sample.where("apart").select("text", "toxic").mapInArrow(_differences(spark.sparkContext.broadcast(model)), "toxic int, x array<double>").toArrow()
+    if not tried.num_rows or len(set(tried["toxic"].to_pylist())) < 2:
+        model.set_strength(STRENGTHS[len(STRENGTHS) // 2])
+    else:
+        y, x = tried["toxic"].to_numpy(), np.stack(tried["x"].to_numpy(zero_copy_only=False))
+        model.set_strength(STRENGTHS[int(np.argmax([round(area(x[:, k], y), 4) for k in range(len(STRENGTHS))]))])
     # the pairs are valued where they are; a key and a value of each come to the driver, bounded by the sample
-    values = pairs.join(contexts, "v").drop("v").mapInArrow(_pair_values(spark.sparkContext.broadcast(model)), "pair long, value double").toArrow()
+    taken, spared = _discounted(pairs)
+    values = pairs.mapInArrow(_pair_values(spark.sparkContext.broadcast(model), taken, spared), "pair long, value double").toArrow()
     keys, value = _u64(values["pair"]), values["value"].to_numpy()
     del values
     order = np.argsort(keys)
     model.pairs, model.pair = keys[order], value[order]
     scored = sample.where("apart").select("text", "toxic").mapInArrow(_difference(spark.sparkContext.broadcast(model)), "toxic int, x double").toArrow()
-    if not scored.num_rows:
-        return model, 1.0, float(np.log(real[1] / real[0]))
     y, x = scored["toxic"].to_numpy().astype(np.float64), scored["x"].to_numpy()
-    share = real[1] / (real[0] + real[1])
-    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    slope, intercept = _fit(x, y, weight)
-    return model, slope, intercept
+    if not len(y) or y.min() == y.max():
+        return model, flat
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    return model, rising_curve(x, y, weight)
 
 
 def _columns(table, name: str) -> list[np.ndarray]:
     return [table[f"{name}{c}"].to_numpy().astype(np.float64) for c in (0, 1)]
 
 
-def _pair_values(model):
+def _pair_values(model, taken: list[np.ndarray], spared: list[float]):
     def value(batches):
         for batch in batches:
-            bi = {"w": _u64(batch.column("w")), "n": _columns(batch, "n"), "context": _columns(batch, "c"), "follow": _columns(batch, "f")}
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(model.value.pair_values(bi))], names=["pair", "value"])
+            found = model.value.pair_values(_u64(batch.column("v")), _u64(batch.column("w")), _columns(batch, "n"), taken, spared)
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(found)], names=["pair", "value"])
 
     return value
 
 
+def _differences(model):
+    def score(batches):
+        """The difference by words at every strength."""
+        models = []
+        for strength in STRENGTHS:
+            own = Model.__new__(Model)
+            own.__dict__.update(model.value.__dict__)
+            own.set_strength(strength)
+            models.append(own)
+        for batch in slices(batches):
+            found = words(batch.column("text"))
+            x = np.stack([m.difference(*found) for m in models], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STRENGTHS)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], names=["toxic", "x"])
+
+    return score
+
+
 def _difference(model):
     def score(batches):
         for batch in slices(batches):
@@ -194,11 +257,11 @@ def _difference(model):
     return score
 
 
-def _score(model, slope: float, intercept: float):
+def _score(model, curve: tuple[np.ndarray, np.ndarray]):
     def score(batches):
         for batch in slices(batches):
             x = model.value.difference(*words(batch.column("text"))) if model else np.zeros(batch.num_rows)
-            value = 1 / (1 + np.exp(-np.clip(slope * x + intercept, -30, 30)))
+            value = np.clip(np.interp(x, *curve), 0, 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )
@@ -208,7 +271,8 @@ def _score(model, slope: float, intercept: float):
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels of ids for which ``learn`` holds teach."""
-    model, slope, intercept = train(docs, labels, learn)
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    model, curve = train(source, labels.select("doc_id", "toxic"), learn)
     sent = docs.sparkSession.sparkContext.broadcast(model) if model else None
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (~learn).alias("held_out"))
-    return rows.mapInArrow(_score(sent, slope, intercept), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    rows = source.withColumn("held_out", ~learn)
+    return rows.mapInArrow(_score(sent, curve), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
