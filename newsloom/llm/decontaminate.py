@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import Scratch
+from newsloom.llm.runtime import Scratch, fresh
 
 SIZE = 5
 PERCENT = 80
@@ -73,19 +73,23 @@ def find(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame
 
 
 def remove(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in no pair."""
+    """The rows of ``docs`` whose own text contains no item; rows are known by their text, so ids may repeat or be null."""
     scratch = Scratch(docs.sparkSession, "decontaminated")
-    found = scratch.table(find(docs, items, percent).select(F.col("doc_id").alias("found_id")).distinct(), "found")
-    return docs.join(scratch.small(found), F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    own = F.md5(F.col("text").cast("string").cast("binary"))
+    texts = docs.select(own.alias("doc_id"), "text")
+    name = fresh(docs, "found")
+    found = scratch.table(find(texts, items, percent).select(F.col("doc_id").alias(name)).distinct(), "found")
+    return docs.join(scratch.small(found), own == F.col(name), "left_anti")
 
 
-# Containment on shingle texts, for DuckDB.
+# Containment on shingle texts, for DuckDB: an item of k words below five has one shingle of k words, met in the k-word runs of every text.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
      i AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-     ds AS (SELECT DISTINCT id, s FROM (SELECT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) ELSE ['short ' || array_to_string(w, ' ')] END) AS s FROM d WHERE len(w) > 0)),
-     si AS (SELECT DISTINCT id, s FROM (SELECT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) ELSE ['short ' || array_to_string(w, ' ')] END) AS s FROM i WHERE len(w) > 0)),
+     l AS (SELECT DISTINCT least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+     ds AS (SELECT DISTINCT id, k, s FROM (SELECT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s FROM d, l WHERE len(w) >= k)),
+     si AS (SELECT DISTINCT id, k, s FROM (SELECT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s FROM (SELECT id, w, least(len(w), 5) AS k FROM i WHERE len(w) > 0))),
      n AS (SELECT id, count(*) AS n_item FROM si GROUP BY id)
 SELECT ds.id AS doc_id, si.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item)::DOUBLE AS containment
-FROM ds JOIN si USING (s) JOIN n ON n.id = si.id GROUP BY ds.id, si.id HAVING 100 * count(*) >= 80 * any_value(n_item)
+FROM ds JOIN si USING (k, s) JOIN n ON n.id = si.id GROUP BY ds.id, si.id HAVING 100 * count(*) >= 80 * any_value(n_item)
 """

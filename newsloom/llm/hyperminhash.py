@@ -37,7 +37,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.runtime import Scratch
+from newsloom.llm.runtime import Scratch, fresh
 from newsloom.llm.tokens import mix, shingle_sets, slices
 
 REGISTERS = 512
@@ -470,7 +470,7 @@ def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     # rows that go, or of which one goes; a row is known by its id and text
     judged = members.join(chosen, "label").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"), F.max(F.expr("best.doc_id = doc_id and best.key = key")).alias("stays"))
     judged = scratch.table(judged.where("not stays or times > 1"), "judged")
-    names = {c: f"_{c}_{'_' * max(map(len, docs.columns))}" for c in ("doc_id", "key")}  # longer than any column's name
+    names = {c: fresh(docs, c) for c in ("doc_id", "key")}
 
     def of(part: DataFrame, how: str) -> DataFrame:
         part = scratch.small(scratch.table(part.select(*(F.col(c).alias(n) for c, n in names.items())), "part"))

@@ -3,11 +3,14 @@
 Training counts byte trigrams inside words (letters only, A-Z lowered, borders count as a space) per
 language over all training rows; a trigram falls into one of 2^15 buckets. A document's words are the
 units: each has a likelihood under every language, and EM finds the languages' shares. The set of
-languages is chosen among the best one, two and three by log-likelihood less ``PENALTY * log(words)`` for
-each further language. The prediction is the language with the largest share, the score that share.
-
-Defined cases: null text or one without a letter: ``und``, score 0. No training rows: ``und`` for all.
-Languages whose name is null teach nothing. Equal shares: the name that sorts first.
+languages grows, in order of their shares in a fit of all, up to all learned ones: of the sets, the one with the largest
+log-likelihood less ``PENALTY * log(words)`` for each further language is chosen. The set and its shares are returned; the
+prediction is the language with the largest share, the score that share.
+
+Defined cases: null text or one without a letter: ``und``, score 0, no languages. No training rows: ``und`` for all.
+Languages whose name is null teach nothing. Equal shares: the name that sorts first. Rows are judged one by one: repeated
+rows and null ids get what their text gets; an empty table gives no rows; kept columns may have any names but those of the
+results, which the caller chooses; a text is never cut. The table of ``BUCKETS`` log-probabilities a language is broadcast.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ BUCKETS = 1 << 15
 ROUNDS = 15
 PENALTY = 3.0
 SMOOTHING = 0.5
+LEAST_SHARE = 0.001
 
 _KEEP = np.full(256, 32, dtype=np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -109,8 +113,9 @@ def mixture(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out[np.arange(len(counts)), best] = 1.0
     value = alone.max(axis=1)
     order = np.argsort(-everything, axis=1, kind="stable")
-    for k in range(2, min(size, 3) + 1):
-        mixed = np.flatnonzero(everything[np.arange(len(counts)), order[:, k - 1]] > 0.005)
+    for k in range(2, size + 1):
+        # words of no share can't raise the likelihood of a larger set
+        mixed = np.flatnonzero(everything[np.arange(len(counts)), order[:, k - 1]] > LEAST_SHARE)
         if not len(mixed):
             break
         allowed = np.zeros((len(mixed), size), dtype=np.float32)
@@ -124,34 +129,44 @@ def mixture(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predict(names: list[str], table: np.ndarray, keep: list[str]):
+def _predict(model, keep: list[str], results: tuple[str, str, str]):
     def predict(batches):
+        names, table = model.value
         for batch in slices(batches):
             column = batch.column("text")
             bucket, first, before = word_trigrams(column)
             counts = np.diff(before)
             label, score = np.full(len(counts), "und", dtype=object), np.zeros(len(counts))
+            languages: list[list] = [[] for _ in range(len(counts))]
             some = np.flatnonzero(counts)
             if len(some) and names:
                 scores = np.stack([np.add.reduceat(table[:, i][bucket], first) for i in range(len(names))], axis=1)
                 share = mixture(scores, counts[some])
                 label[some] = np.array(names, dtype=object)[share.argmax(axis=1)]
                 score[some] = np.clip(share.max(axis=1), 0, 1)
+                order = np.argsort(-share, axis=1, kind="stable")
+                for i, own, places, n in zip(some, share, order, (share > 0).sum(axis=1), strict=True):
+                    languages[i] = [{"lang": names[j], "share": float(own[j])} for j in places[:n]]
                 data, off = utf8(column)
                 plain = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
                 for i in some[(plain[off[1:]] == plain[off[:-1]])[some]]:  # letters beyond A-Z only, if any
                     if not any(c.isalpha() for c in column[int(i)].as_py()):
-                        label[i], score[i] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(label, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                        label[i], score[i], languages[i] = "und", 0.0, []
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), pa.array(label, pa.string()), pa.array(score), pa.array(languages, _LANGUAGES)], names=[*keep, *results]
+            )
 
     return predict
 
 
-def identify(docs: DataFrame, learn: Column, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score; rows where ``learn`` holds teach."""
-    names, table = train(docs.where(learn))
-    table = np.asfortranarray(table)
+_LANGUAGES = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+
+
+def identify(docs: DataFrame, learn: Column, keep: list[str], results: tuple[str, str, str] = ("lang_pred", "score", "languages")) -> DataFrame:
+    """``keep`` columns of ``docs`` with the language, its share, and all languages of the chosen set with theirs; rows where ``learn`` holds teach."""
+    names, table = train(docs.where(learn).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    model = docs.sparkSession.sparkContext.broadcast((names, np.asfortranarray(table)))
     fields = [docs.schema[c] for c in keep]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     source = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("text", F.col("text").cast("string"))
-    return source.mapInArrow(_predict(names, table, keep), f"{kept}, lang_pred string, score double")
+    return source.mapInArrow(_predict(model, keep, results), f"{kept}, `{results[0]}` string, `{results[1]}` double, `{results[2]}` array<struct<lang:string,share:double>>")
