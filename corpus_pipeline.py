@@ -3,13 +3,15 @@
 Each stage takes (spark, docs, sf_dir), works on all rows it gets, and returns a DataFrame; the result is
 written as Parquet and read again as the next stage's docs. All but the last keep the columns of documents.
 
-1. language: rows in no learned language (``und``) go, and those whose main language holds less than ``LEAST_SHARE`` of the words.
-2. near_dedup: of each group of near copies the document with the smallest id stays.
-3. decontaminate: documents that contain a benchmark item go.
+1. language: rows whose text is in no learned language (``und``) go; a text may mix any of them.
+2. near_dedup: of each group of near copies (five words a shingle, similarity of ``SIMILAR`` percent or more) one row stays,
+   that with the smallest (doc_id, text); copies of a text under one id are one.
+3. decontaminate: rows whose own text contains a benchmark item go.
 4. secrets: secrets are replaced in the texts; no document goes, n_chars follows the text.
 5. packing: the texts as packed sequences of 2048 ids.
 
-A row with a null doc_id is never a near copy; it stays until a stage rejects its text.
+Rows are told apart by id and text, so an id may repeat or be null; a row with a null doc_id is never a near copy and stays
+until a stage rejects its text. Further columns are kept, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,25 +21,19 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, hyperminhash, langid, packing, secrets
 from newsloom.llm.queries import tokenizer_path
-from newsloom.llm.runtime import Scratch, id_crc, read
+from newsloom.llm.runtime import Scratch, fresh, id_crc, read
 
-LEAST_SHARE = 0.4
+SIMILAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = langid.identify(docs, id_crc() % 4 != 2, docs.columns)
-    return judged.where(f"lang_pred <> 'und' and score >= {LEAST_SHARE}").select(*docs.columns)
+    names = tuple(fresh(docs, c) for c in ("lang", "share", "languages"))
+    judged = langid.identify(docs, id_crc() % 4 != 2, docs.columns, names)
+    return judged.where(judged[names[0]] != "und").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "dedup")
-    found = scratch.table(hyperminhash.near_duplicates(docs).where("doc_id is not null"), "found")
-    gone = scratch.table(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1"), "gone")
-    some = scratch.small(gone)
-    once = docs.join(some, "doc_id", "left_anti")
-    # rows that repeat an id: one of each text stays
-    again = docs.join(scratch.small(scratch.table(gone.where("kept").select("doc_id"), "again")), "doc_id").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).select(*docs.columns)
+    return hyperminhash.deduplicate(docs, SIMILAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
