@@ -48,7 +48,7 @@ LONGEST = 3
 RATINGS = [("src1", "left", "Left"), ("src2", "left", "Lean Left"), ("src3", "center", "Center"), ("src4", "center", "Center"),
            ("src5", "right", "Right"), ("src6", "right", "Lean Right"), ("src7", "center", "Center"), ("src12", "left", "Left")]
 PROMINENCE = [(0, "src1", 90), (1, "src12", 80), (2, "2", 70), (3, "rc7", 65), (4, "src", 60)]
-EMPTY = ("NATION_24", "NATION_23")
+EMPTY = ("NATION_24", "EMPTY_1")  # expected to have no news; one of them has
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -84,6 +84,15 @@ def directory(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wide_directory(spark: SparkSession, sf: str) -> DataFrame:
+    """The directory and three countries without any data: EMPTY_0, EMPTY_1, EMPTY_2."""
+    more = spark.range(3).select(
+        (F.col("id") + 100).alias("ord"), F.concat(F.lit("EMPTY_"), F.col("id").cast("string")).alias("country_name"),
+        F.concat(F.lit("m"), (F.col("id") + 100).cast("string")).alias("map_id"), F.lit(None).cast("string").alias("iso2"),
+    )
+    return directory(spark, sf).unionByName(more)
+
+
 def gazetteer(spark: SparkSession, overrides: bool = True) -> DataFrame:
     from newsloom.operators.countries import prepare_gazetteer
 

@@ -42,7 +42,7 @@ def sql_strip(x: str) -> str:
 
 
 _PAGE_RAW = """raw AS (SELECT regexp_extract(html, '<title>(.*?)</title>', 1) AS rt,
-  regexp_extract(html, '(?s)<p>(.*?)</p>', 1) AS rd, regexp_replace(url, '^(https?://[^/?#]+)$', '\\1/') AS url FROM pages)"""
+  array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), ' ') AS rd, regexp_replace(url, '^(https?://[^/?#]+)$', '\\1/') AS url FROM pages)"""
 _HOST = "regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '')"
 
 
@@ -62,7 +62,7 @@ def _initcap(x: str) -> str:
 def normalize(spark, sf):
     raw = c.table(spark, sf, "pages").select(
         F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
-        F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1).alias("description"),
+        F.array_join(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1)), " ").alias("description"),
         "url", F.lit("Independent publisher").alias("publisher_name"), F.lit("Mon, 01 Jan 2024 12:00:00 GMT").alias("published"),
     )
     out = ql.normalize_articles(raw)

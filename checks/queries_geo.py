@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import corpus as c, sql as s
 from checks.queries_base import ART, case, sql_strip, us
-from checks.queries_more import _country_stories, _news, _story_events
+from checks.queries_more import _ATT, _attempts, _country_stories, _story_events
 from newsloom import dims, schemas
 from newsloom.functions import scoring, text as tx
 from newsloom.operators import countries as co, feeds as fd, geo, grouping as gr, quality as ql, video as vd
@@ -69,7 +69,7 @@ def centers(spark, sf):
 
 def _capitals(spark, sf):
     n = c.table(spark, sf, "nation").withColumn("k", F.col("n_nationkey").cast("long"))
-    return n.filter("k % 4 < 3").select(
+    return n.select(
         F.when(F.col("k") % 4 == 0, F.concat(F.lit("C"), F.col("k").cast("string"))).alias("iso2"),
         F.when(F.col("k") % 4 == 1, F.concat(F.lit("I"), F.col("k").cast("string"))).alias("iso3"),
         F.when(F.col("k") == 8, "N/A").otherwise(F.concat(F.lit("cap"), F.col("k").cast("string"))).alias("capital"),
@@ -79,7 +79,7 @@ def _capitals(spark, sf):
 
 _CAPS = """caps AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN 'C' || n_nationkey END AS iso2, CASE WHEN n_nationkey % 4 = 1 THEN 'I' || n_nationkey END AS iso3,
   CASE WHEN n_nationkey = 8 THEN 'N/A' ELSE 'cap' || n_nationkey END AS capital, CASE WHEN n_nationkey = 12 THEN 0.0 ELSE n_nationkey * 2.0 END::DOUBLE AS lat,
-  CASE WHEN n_nationkey = 12 THEN 0.0 ELSE n_nationkey * -3.0 END::DOUBLE AS lng FROM nation WHERE n_nationkey % 4 < 3)"""
+  CASE WHEN n_nationkey = 12 THEN 0.0 ELSE n_nationkey * -3.0 END::DOUBLE AS lng FROM nation)"""
 _OKCAPS = f"{_CAPS}, okcaps AS (SELECT * FROM caps WHERE capital <> 'N/A' AND NOT (lat = 0 AND lng = 0))"
 
 
@@ -92,14 +92,14 @@ def capitals(spark, sf):
 
 def _styled(spark, sf):
     best = gr.first_row(
-        _country_stories(spark, sf).filter("importance_score >= 66").select("country_name", "event_id", "category", "importance_score", "last_updated_at"),
+        _country_stories(spark, sf).select("country_name", "event_id", "category", "importance_score", "last_updated_at"),
         ["country_name"], [gr.highest("importance_score"), gr.newest("last_updated_at"), F.col("event_id")],
     ).select("country_name", "category", "importance_score")
-    d = c.directory(spark, sf).join(best, "country_name", "left")
-    return d.select(F.col("country_name").alias("name"), "map_id", "ord", "iso2", F.concat(F.lit("I"), F.col("ord").cast("string")).alias("iso3"), "category", "importance_score", (F.col("ord") != 7).alias("signal_ready"))
+    d = c.wide_directory(spark, sf).join(best, "country_name", "left")
+    return d.select(F.col("country_name").alias("name"), "map_id", "ord", "iso2", F.concat(F.lit("I"), F.col("ord").cast("string")).alias("iso3"), "category", "importance_score", (F.col("ord") != 100).alias("signal_ready"))
 
 
-_TOPS = f"""tops AS (SELECT country_code AS country_name, category, importance_score FROM bridge JOIN stories USING (event_id) WHERE importance_score >= 66
+_TOPS = f"""tops AS (SELECT country_code AS country_name, category, importance_score FROM bridge JOIN stories USING (event_id)
   QUALIFY row_number() OVER (PARTITION BY country_code ORDER BY importance_score DESC, last_updated_at DESC, event_id) = 1)"""
 _CENTER = "ctr AS (SELECT name, CASE WHEN x0 + 30 >= 180 THEN x0 + 30 - 360 ELSE x0 + 30 END::DOUBLE AS lon, (y0 + 14)::DOUBLE AS lat FROM box)"
 
@@ -114,7 +114,7 @@ def _mix(cat: str, score: str) -> str:
     return "'#' || " + " || ".join(parts)
 
 
-@case("join_country_markers", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.DIRECTORY}, {_TOPS}, {_BOX}, {_OKCAPS}, {_CENTER},
+@case("join_country_markers", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.WIDE}, {_TOPS}, {_BOX}, {_OKCAPS}, {_CENTER},
  d AS (SELECT directory.*, 'I' || ord AS iso3, category, importance_score FROM directory LEFT JOIN tops USING (country_name)),
  a AS (SELECT d.country_name, capital, lat, lng FROM d JOIN okcaps o ON o.iso2 = d.iso2), b AS (SELECT d.country_name, capital, lat, lng FROM d JOIN okcaps o ON o.iso3 = d.iso3 WHERE country_name NOT IN (SELECT country_name FROM a)),
  r AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT country_name, country_name, lat, lon FROM d JOIN ctr ON ctr.name = country_name WHERE country_name NOT IN (SELECT country_name FROM a UNION SELECT country_name FROM b))
@@ -124,13 +124,13 @@ def markers(spark, sf):
     return m.select("name", "capital", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "color")
 
 
-_STYLE = f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.DIRECTORY}, {_TOPS}
- SELECT map_id, country_name AS name, CASE WHEN category IS NOT NULL THEN {_mix('category', 'importance_score')} WHEN ord = 7 THEN '#5b6b78' ELSE '#42657a' END AS color,
+_STYLE = f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.WIDE}, {_TOPS}
+ SELECT map_id, country_name AS name, CASE WHEN category IS NOT NULL THEN {_mix('category', 'importance_score')} WHEN ord = 100 THEN '#5b6b78' ELSE '#42657a' END AS color,
    CASE WHEN map_id = 'm3' THEN 0.68 WHEN category IS NOT NULL THEN 0.46 ELSE 0.28 END::DOUBLE AS opacity FROM directory LEFT JOIN tops USING (country_name)"""
 
 
 def _geometry(spark, sf):
-    p = polygons(spark, sf).filter("ring_id = 0")
+    p = polygons(spark, sf).select("ord", "country_id", "name").distinct()
     return p.select(F.when(F.col("ord") % 2 == 0, F.col("country_id")).alias("country_id"), F.concat(F.lit(" "), "name").alias("name"))
 
 
@@ -187,7 +187,7 @@ def _records(spark, sf):
     room = F.element_at(tx.lit_array(_ROOMS + ["City Cam Channel"]), (F.substring("source", 4, 2).cast("int") + 1))
     return a.select(
         F.format_string("vid%06d", F.floor(F.col("doc_id") / 2)).alias("videoId"),
-        simple(F.substring_index("text", "\n", 1)).alias("title"), runs(F.upper(room)).alias("ownerText"),
+        simple(F.col("text")).alias("title"), runs(F.upper(room)).alias("ownerText"),
         simple(F.format_string("%d.5K watching", F.col("n_chars"))).alias("viewCountText"),
         F.when(F.col("lang").isin("en", "de"), F.array(F.struct(F.struct(F.lit(st.LIVE_BADGE).alias("style")).alias("metadataBadgeRenderer")))).alias("badges"),
         F.struct(F.array(
@@ -198,7 +198,7 @@ def _records(spark, sf):
     )
 
 
-_STREAMS = f"""streams AS (SELECT * FROM (SELECT printf('vid%06d', doc_id // 2) AS id, doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS title,
+_STREAMS = f"""streams AS (SELECT * FROM (SELECT printf('vid%06d', doc_id // 2) AS id, doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title,
    upper({s.lst(_ROOMS + ['City Cam Channel'])}[substr(source, 4)::INT + 1]) AS channel_name, floor((n_chars + 0.5) * 1000 + 0.5)::BIGINT AS viewer_count, 'http://big/' || lang AS thumbnail_url
    FROM documents WHERE lang IN ('en', 'de')) WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id) = 1)"""
 
@@ -379,17 +379,17 @@ def snapshot(spark, sf):
     return st.read_snapshot(spark, root, "id STRING, feed_name STRING, country_name STRING").select("country_name", "id")
 
 
-@case("snk_world_feed", f"""{ART}, {s.DIRECTORY}, news AS (SELECT * FROM art WHERE country_name <> 'NATION_5' AND country_name <> 'NATION_24'),
- v AS (SELECT country_name, id, row_number() OVER (PARTITION BY country_name ORDER BY doc_id, id) AS k FROM news WHERE NOT {s.non_event('title')})
+@case("snk_world_feed", f"""{ART}, {s.WIDE},
+ v AS (SELECT country_name, id, row_number() OVER (PARTITION BY country_name ORDER BY doc_id, id) AS k FROM art WHERE NOT {s.non_event('title')})
  SELECT ord, d.country_name, coalesce(string_agg(id, ',' ORDER BY k), '') AS ids, count(id) > 0 AS available FROM directory d LEFT JOIN v ON v.country_name = d.country_name GROUP BY ALL""")
 def world_feed(spark, sf):
     rows = fd.world_feed(
-        c.directory(spark, sf), c.directory(spark, sf).select("country_name", F.timestamp_seconds(F.lit(0)).alias("generated_at")),
-        _news(spark, sf).withColumn("pos", F.col("doc_id")),
+        c.wide_directory(spark, sf), c.wide_directory(spark, sf).select("country_name", F.timestamp_seconds(F.lit(0)).alias("generated_at")),
+        c.articles(spark, sf).withColumn("pos", F.col("doc_id")),
     )
     path = landing(spark, "world")
     st.publish_world_feed(rows, path)
-    back = spark.read.schema("ord LONG, country_name STRING, available BOOLEAN, articles ARRAY<STRUCT<id: STRING>>").json(path)
+    back = st.read_world_feed(spark, path, "ord LONG, country_name STRING, available BOOLEAN, articles ARRAY<STRUCT<id: STRING>>")
     return back.select("ord", "country_name", F.array_join(F.transform("articles", lambda x: x["id"]), ",").alias("ids"), "available")
 
 
@@ -424,6 +424,7 @@ def stream_dedupe(spark, sf):
 def last_known(spark, sf):
     """Two landed batches, English first: the later arrival of a key wins."""
     from newsloom.streaming import ingest
+    from newsloom.streaming.state import CountryState
 
     src, root = landing(spark, "src"), landing(spark, "state")
     a = c.articles(spark, sf).select("id", "url", "title", "description", "country_name", "published_at", "language")
@@ -434,7 +435,7 @@ def last_known(spark, sf):
         a.filter(cond).write.mode("append").parquet(src)
         q = ingest.refresh(spark.readStream.schema(a.schema).parquet(src), fold, ckpt, once=True)
         q.awaitTermination()
-    return st.read_snapshot(spark, root, schema).select("country_name", "url", "id")
+    return CountryState(spark, root, schema).read(c.AS_OF).select("country_name", "url", "id")
 
 
 @case("stream_readiness", f"""{ART}, {s.DIRECTORY} SELECT count(*) AS n, true AS published FROM directory""")
@@ -446,7 +447,67 @@ def readiness(spark, sf):
     out = landing(spark, "ready")
     feed = fd.world_feed(d, tried.withColumnRenamed("last_attempt_at", "generated_at"), a.withColumn("pos", F.col("doc_id")))
     done = ingest.publish_when_ready(d, tried, a, a, lambda: st.publish_world_feed(feed, out))
-    return spark.read.schema("country_name string").json(out).agg(F.count("*").alias("n"), F.lit(done).alias("published"))
+    return st.read_world_feed(spark, out, "country_name string").agg(F.count("*").alias("n"), F.lit(done).alias("published"))
+
+
+_DAY = "2024-01-02 06:00:00"
+
+
+@case("stream_dropped", f"""{ART} SELECT country_name, id, CASE WHEN published_at < TIMESTAMP '{_DAY}' - INTERVAL 8 DAY THEN 'late' ELSE 'future' END AS reason FROM art
+ WHERE published_at NOT BETWEEN TIMESTAMP '{_DAY}' - INTERVAL 8 DAY AND TIMESTAMP '{_DAY}' + INTERVAL 6 HOUR""")
+def dropped(spark, sf):
+    """STREAM-4: rows out of their time go to a side table, with the reason; every fifth day comes from the past."""
+    from newsloom.streaming import ingest
+
+    src, out = landing(spark, "src"), landing(spark, "dropped")
+    a = c.articles(spark, sf).select("id", "country_name", "published_at")
+    a.write.parquet(src)
+    _, side = ingest.with_dropped(spark.readStream.schema(a.schema).parquet(src), _DAY)
+    q = side.writeStream.format("parquet").option("checkpointLocation", landing(spark, "ckpt")).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return spark.read.schema("country_name string, id string, reason string").parquet(out)
+
+
+@case("stream_cadence", f"""{ART}, cand AS (SELECT * FROM art WHERE NOT {s.non_event('title')})
+ SELECT country_name, url, id, true AS several_triggers FROM cand QUALIFY row_number() OVER (PARTITION BY country_name, url ORDER BY CASE WHEN language = 'en' THEN 1 ELSE 0 END, published_at DESC, id) = 1""")
+def cadence(spark, sf):
+    """STREAM-5: a query that keeps running, one landed folder after the other, each in a trigger of its own."""
+    from newsloom.streaming import ingest
+    from newsloom.streaming.state import CountryState
+
+    src, root = landing(spark, "src"), landing(spark, "state")
+    a = c.articles(spark, sf).select("id", "url", "title", "description", "country_name", "published_at", "language")
+    schema = "id STRING, url STRING, title STRING, description STRING, published_at TIMESTAMP, language STRING, country_name STRING"
+    fold = ingest.last_known_good(root, schema, lambda batch, batch_id: c.AS_OF)
+    a.limit(0).write.mode("append").parquet(src)
+    q = ingest.refresh(spark.readStream.schema(a.schema).parquet(src), fold, landing(spark, "ckpt"), every="1 second")
+    try:
+        for cond in ("language = 'en'", "language <> 'en'"):
+            a.filter(cond).coalesce(1).write.mode("append").parquet(src)
+            q.processAllAvailable()
+        batches = q.lastProgress["batchId"] + 1
+    finally:
+        q.stop()
+    return CountryState(spark, root, schema).read(c.AS_OF).select("country_name", "url", "id", F.lit(batches >= 2).alias("several_triggers"))
+
+
+@case("stream_withheld", f"""{ART}, {s.WIDE}, {_ATT}, steps AS (SELECT unnest([1, 2]) AS step)
+ SELECT step, (step = 2 OR (SELECT count(*) FROM directory WHERE country_name NOT IN (SELECT country_name FROM att)) = 0) AND (SELECT count(*) FROM art) > 0 AS published,
+   CASE WHEN step = 2 THEN (SELECT count(*) FROM directory) ELSE 0 END AS n FROM steps""")
+def withheld(spark, sf):
+    """STREAM-6: nothing is published while a country is unattempted; the next round, with all attempted, is."""
+    from newsloom.streaming import ingest
+
+    d, a, out = c.wide_directory(spark, sf), c.articles(spark, sf), landing(spark, "withheld")
+    some = _attempts(spark, sf)
+    every = d.select("country_name", F.current_timestamp().alias("last_attempt_at"))
+    feed = fd.world_feed(d, every.withColumnRenamed("last_attempt_at", "generated_at"), a.withColumn("pos", F.col("doc_id")))
+    steps = []
+    for step, attempts in ((1, some), (2, every)):
+        done = ingest.publish_when_ready(d, attempts, a, a, lambda: st.publish_world_feed(feed, out))
+        n = st.read_world_feed(spark, out, "country_name string").count() if done else 0
+        steps.append((step, done, n))
+    return spark.createDataFrame(steps, "step int, published boolean, n long")
 
 
 # --- the world view -------------------------------------------------------------------------

@@ -230,12 +230,12 @@ def feed_source(spark, sf):
     return mg.latest_feed_source(side("view", "click"), side("signup", "error", "purchase")).select("country_name", "fresh_side")
 
 
-@case("join_complete_feeds", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.DIRECTORY},
- k AS (SELECT * FROM stories JOIN bridge USING (event_id) WHERE country_code < 'NATION_20' AND importance_score >= 60)
+@case("join_complete_feeds", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.WIDE},
+ k AS (SELECT * FROM stories JOIN bridge USING (event_id))
  SELECT country_name, coalesce(string_agg(event_id, ',' {_ORDERED}), '') AS events FROM directory LEFT JOIN k ON country_code = country_name GROUP BY 1""")
 def complete(spark, sf):
-    e = _country_stories(spark, sf).filter("country_name < 'NATION_20' and importance_score >= 60")
-    return fd.complete_country_feeds(c.directory(spark, sf).select("country_name"), e, c.AS_OF).select(
+    e = _country_stories(spark, sf)
+    return fd.complete_country_feeds(c.wide_directory(spark, sf).select("country_name"), e, c.AS_OF).select(
         "country_name", F.array_join(F.transform("events", lambda x: x["event_id"]), ",").alias("events")
     )
 
@@ -247,39 +247,35 @@ def attach(spark, sf):
     return fd.attach_global_events(e, c.directory(spark, sf).select("country_name", "iso2")).select("event_id", "country_name")
 
 
-_NEWS = "news AS (SELECT * FROM art WHERE country_name <> 'NATION_5' AND country_name <> 'NATION_24')"
+_EMPTY = "(" + ", ".join(s.q(x) for x in c.EMPTY) + ")"
 
 
-def _news(spark, sf):
-    return c.articles(spark, sf).filter("country_name <> 'NATION_5' and country_name <> 'NATION_24'")
-
-
-@case("join_missing_coverage", f"{ART}, {s.DIRECTORY}, {_NEWS} SELECT country_name FROM directory WHERE country_name NOT IN (SELECT country_name FROM news) AND country_name NOT IN ('NATION_24', 'NATION_23')")
+@case("join_missing_coverage", f"{ART}, {s.WIDE} SELECT country_name FROM directory WHERE country_name NOT IN (SELECT country_name FROM art) AND country_name NOT IN {_EMPTY}")
 def missing(spark, sf):
-    return fd.missing_coverage(c.directory(spark, sf), _news(spark, sf), c.EMPTY).select("country_name")
+    return fd.missing_coverage(c.wide_directory(spark, sf), c.articles(spark, sf), c.EMPTY).select("country_name")
 
 
 def _attempts(spark, sf):
-    return c.table(spark, sf, "orders").join(c.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter("c_nationkey < 20").groupBy(
+    return c.table(spark, sf, "orders").join(c.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(
         F.format_string("NATION_%d", "c_nationkey").alias("country_name")
     ).agg(F.max("o_orderdate").cast("timestamp").alias("last_attempt_at"))
 
 
-_ATT = "att AS (SELECT 'NATION_' || c_nationkey AS country_name, max(o_orderdate)::TIMESTAMP AS last_attempt_at FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20 GROUP BY 1)"
+_ATT = "att AS (SELECT 'NATION_' || c_nationkey AS country_name, max(o_orderdate)::TIMESTAMP AS last_attempt_at FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)"
 
 
-@case("agg_collection_progress", f"""{ART}, {s.DIRECTORY}, {_NEWS}, {_ATT} SELECT count(*) FILTER (country_name IN (SELECT country_name FROM att)) AS attempted_countries,
- count(*) FILTER (country_name IN (SELECT country_name FROM news)) AS countries_with_news, count(*) AS total_countries, false AS ready FROM directory""")
+@case("agg_collection_progress", f"""{ART}, {s.WIDE}, {_ATT} SELECT count(*) FILTER (country_name IN (SELECT country_name FROM att)) AS attempted_countries,
+ count(*) FILTER (country_name IN (SELECT country_name FROM art)) AS countries_with_news, count(*) AS total_countries, false AS ready FROM directory""")
 def progress(spark, sf):
-    return fd.collection_progress(c.directory(spark, sf), _attempts(spark, sf), _news(spark, sf), c.articles(spark, sf))
+    return fd.collection_progress(c.wide_directory(spark, sf), _attempts(spark, sf), c.articles(spark, sf), c.articles(spark, sf))
 
 
-@case("agg_coverage_diagnostics", f"""{ART}, {s.DIRECTORY}, {_NEWS}, {_ATT} SELECT 'degraded' AS status, count(*) AS total_countries,
- count(*) FILTER (country_name NOT IN ('NATION_24', 'NATION_23')) AS inhabited_countries,
- string_agg(country_name, ',' ORDER BY country_name) FILTER (country_name NOT IN ('NATION_24', 'NATION_23') AND country_name NOT IN (SELECT country_name FROM news)) AS missing,
- string_agg(country_name, ',' ORDER BY country_name) FILTER (country_name IN ('NATION_24', 'NATION_23')) AS expected, (SELECT count(*) FROM art) AS global_event_count FROM directory""")
+@case("agg_coverage_diagnostics", f"""{ART}, {s.WIDE}, {_ATT} SELECT 'degraded' AS status, count(*) AS total_countries,
+ count(*) FILTER (country_name NOT IN {_EMPTY}) AS inhabited_countries,
+ string_agg(country_name, ',' ORDER BY country_name) FILTER (country_name NOT IN {_EMPTY} AND country_name NOT IN (SELECT country_name FROM art)) AS missing,
+ string_agg(country_name, ',' ORDER BY country_name) FILTER (country_name IN {_EMPTY}) AS expected, (SELECT count(*) FROM art) AS global_event_count FROM directory""")
 def diagnostics(spark, sf):
-    d = fd.coverage_diagnostics(c.directory(spark, sf), _attempts(spark, sf), _news(spark, sf), c.articles(spark, sf), c.EMPTY)
+    d = fd.coverage_diagnostics(c.wide_directory(spark, sf), _attempts(spark, sf), c.articles(spark, sf), c.articles(spark, sf), c.EMPTY)
     return d.select(
         "status", "total_countries", F.col("inhabited_countries").cast("long").alias("inhabited_countries"),
         F.array_join("missing_inhabited_countries", ",").alias("missing"), F.array_join("expected_empty_countries", ",").alias("expected"), "global_event_count",
@@ -317,30 +313,30 @@ def viewpoint(spark, sf):
     return fd.replace_empty_viewpoints(run(True, 60), run(False, 50))
 
 
-@case("agg_audit_world_feed", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.DIRECTORY}, {_NEWS},
- te AS (SELECT country_code, last_updated_at FROM bridge JOIN stories USING (event_id) WHERE country_code <> 'NATION_2' AND importance_score < 60 QUALIFY row_number() OVER (PARTITION BY country_code {_ORDERED}) = 1),
+@case("agg_audit_world_feed", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.WIDE}, news AS (SELECT * FROM art UNION ALL (SELECT * REPLACE ('EMPTY_2' AS country_name) FROM art ORDER BY doc_id LIMIT 1)),
+ te AS (SELECT country_code, last_updated_at FROM bridge JOIN stories USING (event_id) QUALIFY row_number() OVER (PARTITION BY country_code {_ORDERED}) = 1),
  per AS (SELECT country_name, count(*) AS n, count(*) FILTER (url LIKE '%n4%') AS bad FROM news GROUP BY 1),
  r AS (SELECT d.country_name, d.ord > 0 AS present, coalesce(n, 0) > 0 AS has, bad, last_updated_at FROM directory d LEFT JOIN per USING (country_name) LEFT JOIN te ON country_code = d.country_name)
  SELECT country_name, 'missing from complete world response' AS failure FROM r WHERE NOT present
- UNION ALL SELECT country_name, 'inhabited country has no live news' FROM r WHERE present AND NOT has AND country_name NOT IN ('NATION_24', 'NATION_23')
- UNION ALL SELECT country_name, 'expected-empty country has news' FROM r WHERE has AND country_name IN ('NATION_24', 'NATION_23')
+ UNION ALL SELECT country_name, 'inhabited country has no live news' FROM r WHERE present AND NOT has AND country_name NOT IN {_EMPTY}
+ UNION ALL SELECT country_name, 'expected-empty country has news' FROM r WHERE has AND country_name IN {_EMPTY}
  UNION ALL SELECT country_name, 'articles did not produce an event' FROM r WHERE has AND last_updated_at IS NULL
  UNION ALL SELECT country_name, 'top event is stale' FROM r WHERE has AND last_updated_at < TIMESTAMP '2024-01-11 18:00:00' - INTERVAL 8 DAY
  UNION ALL SELECT country_name, 'invalid article metadata' FROM r WHERE has AND bad > 0
  UNION ALL SELECT NULL, 'complete world feed is more than two minutes old'""")
 def audit(spark, sf):
-    d = c.directory(spark, sf)
-    news = _news(spark, sf).withColumn("url", F.when(F.col("url").contains("n4"), "ftp://x").otherwise(F.col("url")))
-    ev_ = _country_stories(spark, sf).filter("country_name <> 'NATION_2' and importance_score < 60")
+    d, a = c.wide_directory(spark, sf), c.articles(spark, sf)
+    news = a.unionByName(a.orderBy("doc_id").limit(1).withColumn("country_name", F.lit("EMPTY_2"))).withColumn("url", F.when(F.col("url").contains("n4"), "ftp://x").otherwise(F.col("url")))
+    ev_ = _country_stories(spark, sf)
     top = gr.first_row(ev_.select("country_name", "event_id", "category", "importance_score", "last_updated_at"), ["country_name"],
                        [gr.highest("importance_score"), gr.newest("last_updated_at"), F.col("event_id")])
     feeds = d.filter("ord > 0").select("country_name", ts("2024-01-11 17:00:00").alias("generated_at"))
     return fd.audit_world_feed(d, feeds, news, top, "2024-01-11 18:00:00", c.EMPTY)
 
 
-@case("top_stalest_countries", f"WITH {s.DIRECTORY}, {_ATT} SELECT country_name, epoch_us(coalesce(last_attempt_at, TIMESTAMP '1970-01-01')) AS last_attempt_at_us FROM directory LEFT JOIN att USING (country_name)")
+@case("top_stalest_countries", f"WITH {s.WIDE}, {_ATT} SELECT country_name, epoch_us(coalesce(last_attempt_at, TIMESTAMP '1970-01-01')) AS last_attempt_at_us FROM directory LEFT JOIN att USING (country_name)")
 def stalest(spark, sf):
-    return fd.stalest_countries(c.directory(spark, sf), _attempts(spark, sf)).select("country_name", us("last_attempt_at"))
+    return fd.stalest_countries(c.wide_directory(spark, sf), _attempts(spark, sf)).select("country_name", us("last_attempt_at"))
 
 
 _CUR = f"""{ART}, cand AS (SELECT *, CASE WHEN feed_name = 'view' THEN 0 ELSE 1 END AS side FROM art WHERE published_at <= {s.AS_OF} AND NOT {s.non_event('title')})"""

@@ -36,6 +36,8 @@ ART = """art AS (
 DIRECTORY = """directory AS (
   SELECT n_nationkey::BIGINT AS ord, n_name AS country_name, 'm' || n_nationkey AS map_id,
     CASE WHEN n_regionkey < 3 THEN 'C' || n_nationkey END AS iso2 FROM nation)"""
+# the directory and three countries without any data
+WIDE = DIRECTORY[:-1] + """ UNION ALL SELECT 100 + i, 'EMPTY_' || i, 'm' || (100 + i), NULL FROM range(3) t(i))"""
 
 
 def hours(later: str, earlier: str) -> str:

@@ -11,6 +11,7 @@ from newsloom import schemas
 from newsloom.functions import text as tx
 from newsloom.operators.grouping import first_row
 from newsloom.operators.video import channel_key
+from newsloom.sources.commits import CommitLog
 
 SNAPSHOT_VERSION = 1
 # Fixed patterns.
@@ -126,47 +127,44 @@ def read_relational_jdbc(spark: SparkSession, url: str, partition: dict | None =
 
 
 # --- sinks ----------------------------------------------------------------------------
-def write_snapshot(df: DataFrame, root: str, partition_by: str | None = "country_name") -> str:
-    """SNK-1: a new run folder, then one pointer row that makes it current.
+KEEP_SNAPSHOTS = 3
 
-    Readers see the old run until the pointer of the new one is committed.
-    """
-    spark = df.sparkSession
-    run = uuid.uuid4().hex
+
+def write_snapshot(df: DataFrame, root: str, partition_by: str | None = "country_name", keep: int = KEEP_SNAPSHOTS) -> str:
+    """SNK-1: a new run folder, then the next version of the log makes it current; older runs go after ``keep`` versions."""
+    log, run = CommitLog(root), uuid.uuid4().hex
     writer = df.write.mode("errorifexists")
     if partition_by:
         # one country goes to few files; a hot one is split
         writer = df.hint("rebalance", partition_by).write.mode("errorifexists").partitionBy(partition_by)
-    writer.parquet(f"{root}/runs/{run}")
-    pointer = spark.range(1).select(
-        F.lit(run).alias("run"), F.lit(SNAPSHOT_VERSION).alias("version"), F.current_timestamp().alias("written_at")
-    )
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+    writer.parquet(log.run_path(run))
+    log.append(lambda _: {"runs": [run], "format": SNAPSHOT_VERSION})
+    log.expire(keep)
     return run
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The newest committed run of this version, or an empty table."""
-    try:
-        pointers = spark.read.schema("run string, version int, written_at timestamp").parquet(f"{root}/pointers")
-        last = pointers.filter(F.col("version") == SNAPSHOT_VERSION).agg(F.max_by("run", "written_at")).first()[0]
-    except Exception as error:  # no pointer folder yet: start from a clean state
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        last = None
-    if last is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/runs/{last}")
-
-
-def publish_world_feed(rows: DataFrame, path: str) -> None:
-    """SNK-2: the ordered world feed as JSON lines, written aside and renamed, so no reader sees half of it."""
-    spark, aside = rows.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.write.json(aside)
-    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    files, old = at(path).getFileSystem(spark._jsc.hadoopConfiguration()), f"{aside}-old"
-    replaced = files.exists(at(path)) and files.rename(at(path), at(old))
-    if not files.rename(at(aside), at(path)):
-        raise OSError(f"cannot publish {path}")
-    if replaced:
-        files.delete(at(old), True)
+    """The newest committed run of this format, or an empty table."""
+    log = CommitLog(root)
+    for version in reversed(log.versions()):
+        entry = log.entry(version)
+        if entry.get("format") == SNAPSHOT_VERSION:
+            return spark.read.schema(schema).parquet(log.run_path(entry["runs"][0]))
+    return spark.createDataFrame([], schema)
+
+
+def publish_world_feed(rows: DataFrame, root: str, keep: int = KEEP_SNAPSHOTS) -> int:
+    """SNK-2: the ordered world feed as JSON lines of a new run; its version makes it the current one at once."""
+    log, run = CommitLog(root), uuid.uuid4().hex
+    rows.write.json(log.run_path(run))
+    version = log.append(lambda _: {"runs": [run]})
+    log.expire(keep)
+    return version
+
+
+def read_world_feed(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The published world feed; an error before the first one."""
+    version, entry = CommitLog(root).latest()
+    if not version:
+        raise FileNotFoundError(f"no world feed in {root}")
+    return spark.read.schema(schema).json(CommitLog(root).run_path(entry["runs"][0]))

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
-from newsloom.operators.feeds import article_key, collection_progress, merge_country_feed
-from newsloom.operators.quality import filter_current, filter_english
+from newsloom.operators.feeds import article_key, collection_progress
+from newsloom.operators.quality import MAX_AGE, MAX_AHEAD, filter_current, filter_english
 from newsloom.session import ts
 from newsloom.sources import feeds
-from newsloom.sources.tables import read_snapshot, write_snapshot
+from newsloom.streaming.state import CountryState
 
 REFRESH = "5 minutes"
 
@@ -29,6 +29,14 @@ def stream_articles(spark: SparkSession, path: str, as_of: Column | str | None =
     return filter_english(filter_current(rows, at))
 
 
+def with_dropped(rows: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """STREAM-4: current rows, and those dropped by date with the ``reason`` (missing, late or future)."""
+    at, when = ts(as_of), F.col("published_at")
+    reason = F.when(when.isNull(), "missing").when(when < at - F.expr("INTERVAL 8 DAYS"), "late").when(when > at + F.expr("INTERVAL 6 HOURS"), "future")
+    marked = rows.withColumn("reason", reason)
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+
+
 def stream_dedupe(stream: DataFrame, keys: list[str] = ("country_name", "article_key"), delay: str = "8 days") -> DataFrame:
     """STREAM-2: first arrival per key while it can still be current.
 
@@ -38,18 +46,15 @@ def stream_dedupe(stream: DataFrame, keys: list[str] = ("country_name", "article
     return df.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def last_known_good(root: str, schema: str, as_of: Callable[[DataFrame, int], object], gazetteer: DataFrame | None = None, rules: DataFrame | None = None, longest: int | None = None):
-    """STREAM-3: a ``foreachBatch`` function folding a batch into the snapshot table.
+def last_known_good(root: str, schema: str, as_of: Callable[[DataFrame, int], object], gazetteer: DataFrame | None = None, rules: DataFrame | None = None, longest: int | None = None, **state):
+    """STREAM-3: a ``foreachBatch`` function folding a batch into the keyed state (``CountryState``).
 
-    An empty batch erases nothing; stories leave only by age. Each batch writes a new run
-    and then its pointer, so a lost executor or a retried batch never leaves half a state.
+    An empty batch erases nothing; stories leave only by age. A batch writes its own rows and the next version, so a
+    lost executor or a retried batch never leaves half a state; a batch that is folded twice changes nothing.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = read_snapshot(spark, root, schema)
-        merged = merge_country_feed(batch, current, as_of(batch, batch_id), gazetteer, rules, longest)
-        write_snapshot(merged.select(*current.columns), root)
+        CountryState(batch.sparkSession, root, schema, **state).upsert(batch, as_of(batch, batch_id), gazetteer, rules, longest)
 
     return fold
 
@@ -61,7 +66,7 @@ def refresh(stream: DataFrame, fold, checkpoint: str, once: bool = False, every:
 
 
 def publish_when_ready(directory: DataFrame, attempts: DataFrame, articles: DataFrame, global_articles: DataFrame, publish: Callable[[], None]) -> bool:
-    """STREAM-6: publish only after every country was attempted and global news exists."""
+    """STREAM-6: publish only after every country was attempted and global news exists; until then output is withheld."""
     ready = bool(collection_progress(directory, attempts, articles, global_articles).first()["ready"])
     if ready:
         publish()
