@@ -130,8 +130,11 @@ _STYLE = f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.WIDE}, {_TOPS}
 
 
 def _geometry(spark, sf):
+    """One shape per country; those without data have one as well."""
     p = polygons(spark, sf).select("ord", "country_id", "name").distinct()
-    return p.select(F.when(F.col("ord") % 2 == 0, F.col("country_id")).alias("country_id"), F.concat(F.lit(" "), "name").alias("name"))
+    empty = c.wide_directory(spark, sf).filter("ord >= 100").select("ord", F.col("map_id").alias("country_id"), F.col("country_name").alias("name"))
+    shapes = p.unionByName(empty)
+    return shapes.select(F.when(F.col("ord") % 2 == 0, F.col("country_id")).alias("country_id"), F.concat(F.lit(" "), "name").alias("name"))
 
 
 @case("join_style_countries", _STYLE)

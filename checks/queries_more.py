@@ -461,12 +461,28 @@ def event_feeds(spark, sf):
     return m.select("feed_ord", "id", "importance_score", "independent_source_count", "article_count")
 
 
-@case("dedup_event_registry", f"""{_REC}, {_fold_sql("(CASE WHEN feed_name = 'view' THEN 0 ELSE (SELECT max(doc_id) + 1 FROM art WHERE feed_name = 'view') END) + doc_id")}
- SELECT eid AS id, importance_score, article_count FROM merged QUALIFY row_number() OVER (PARTITION BY eid ORDER BY f) = 1""")
+_REG = "(CASE WHEN feed_name = 'view' THEN 0 ELSE (SELECT max(doc_id) + 1 FROM art WHERE feed_name = 'view') END) + doc_id"
+
+
+@case("dedup_event_registry", f"""{_REC}, {_same_sql(_REG)},
+ mt AS MATERIALIZED (SELECT a, b FROM pair UNION SELECT x.o, y.o FROM ev x JOIN ev y ON x.full_t = y.full_t AND len(x.full_t) > 0 AND x.o < y.o UNION SELECT x.o, y.o FROM ev x JOIN ev y ON x.eid = y.eid AND x.o < y.o),
+ eg AS MATERIALIZED (SELECT a, b FROM mt JOIN ev ON ev.o = b WHERE feed_name <> 'view'),
+ sd AS (SELECT o FROM ev WHERE o NOT IN (SELECT b FROM eg)),
+ re AS (SELECT o AS f, o AS n FROM sd UNION SELECT re.f, eg.b FROM re JOIN eg ON eg.a = re.n),
+ mb AS MATERIALIZED (SELECT n AS o, min(f) AS f FROM re GROUP BY n UNION SELECT y.o, x.o FROM mt JOIN ev x ON x.o = a JOIN ev y ON y.o = b
+   WHERE x.feed_name = 'view' AND y.feed_name <> 'view' AND x.country_name = y.country_name),
+ lp AS (SELECT f, publisher_name, max(published_at) AS p FROM ev JOIN mb USING (o) GROUP BY ALL),
+ sp AS (SELECT f, count(*) AS n, min(p) AS lo, max(p) AS hi FROM lp GROUP BY 1),
+ ag AS (SELECT f, min({s.hours(s.AS_OF, 'published_at')}) AS age_hours FROM ev JOIN mb USING (o) GROUP BY 1),
+ mm AS (SELECT f, ev.eid, feed_name, age_hours, n AS independent_source_count, n AS article_count, 1 AS affected_country_count,
+   CASE WHEN n <= 1 THEN 0.0::DOUBLE ELSE (n - 1) / greatest(1.0::DOUBLE / 60, {s.hours('hi', 'lo')}) END AS articles_per_hour FROM ag JOIN sp USING (f) JOIN ev ON ev.o = f)
+ SELECT f AS feed_ord, eid AS id, importance_score, article_count, feed_name = 'view' AND row_number() OVER (PARTITION BY eid, feed_name = 'view' ORDER BY f DESC) = 1 AS shown FROM {s.scored('mm')}""")
 def registry(spark, sf):
+    """Views are the global feed, affecting the country of their article; all else is its country's feed."""
     e = _event_feed(spark, sf)
-    r = mg.canonical_event_registry(e.filter("feed_name = 'view'"), e.filter("feed_name <> 'view'"))
-    return r.select("id", "importance_score", "article_count")
+    seeds = e.filter("feed_name = 'view'").withColumn("affected_countries", F.array("country_name"))
+    r = mg.canonical_event_registry(seeds, e.filter("feed_name <> 'view'"))
+    return r.select("feed_ord", "id", "importance_score", "article_count", "shown")
 
 
 _SNAP_AT = "2024-01-09 00:00:00"

@@ -17,6 +17,12 @@ RETENTION = "INTERVAL 7 DAYS"
 ROLLOVER_GUARD = "INTERVAL 5 MINUTES"
 
 
+def _with_first(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """(a, b): the smallest ``pos`` of each key with every other one."""
+    first = rows.groupBy(*keys).agg(F.min(pos).alias("a"))
+    return rows.select(*keys, F.col(pos).alias("b")).join(first, keys).filter("a < b").select("a", "b")
+
+
 # --- JOIN-8 -----------------------------------------------------------------------------
 def _headlines(events: DataFrame, key: str, scope: list[str]) -> DataFrame:
     """(key, last_updated_at, scope, tokens) of the event headline and its article headlines."""
@@ -28,13 +34,14 @@ def _headlines(events: DataFrame, key: str, scope: list[str]) -> DataFrame:
 
 def same_occurrence_pairs(
     events: DataFrame, key: str = "event_key", scope: list[str] | None = None,
-    block_rows: int = sm.BLOCK_ROWS, dense_rows: int = sm.DENSE_ROWS,
+    block_rows: int = sm.BLOCK_ROWS, dense_rows: int = sm.DENSE_ROWS, star: bool = False,
 ) -> DataFrame:
     """JOIN-8: (a, b) with a < b, pairs of events that describe one occurrence.
 
     ``key`` is the numeric position of an event.
 
-    Equal token sets match at any distance (given as a chain of neighbours); otherwise some headline pair has to be
+    Equal token sets match at any distance (given as a chain of neighbours, or as the first one with each other one
+    if ``star``); otherwise some headline pair has to be
     similar within 96 hours, in one category or with four common headline tokens.
     ``scope`` columns restrict pairs to equal values (for instance one country).
     """
@@ -43,25 +50,24 @@ def same_occurrence_pairs(
         events.select(key, *scope, "category", "last_updated_at", "headline", "articles", tx.sorted_tokens(F.col("headline")).alias("tokens"))
     )
     # Equal token sets: chain the members of a group instead of pairing all of them.
-    equal = consecutive(base.filter(F.size("tokens") > 0), [*scope, "tokens"], key)
+    worded = base.filter(F.size("tokens") > 0)
+    equal = _with_first(worded, [*scope, "tokens"], key) if star else consecutive(worded, [*scope, "tokens"], key)
     heads = _headlines(base, key, scope)
     # A distinct token list is a report in the sense of JOIN-7, without context.
     lists = heads.filter(F.size("t") >= 2).select("t").distinct()
+    # Titles alone: the context of a bare headline is the headline itself.
     reports = cut(
-        lists.select(
-            F.monotonically_increasing_id().alias("report"), F.col("t").alias("title_tokens"), F.lit("").alias("category"),
-            F.array().cast("array<bigint>").alias("context"),
-            F.transform("t", lambda x: F.xxhash64(x)).alias("ids"),
-            F.transform(F.filter("t", lambda x: F.length(x) >= 7), lambda x: F.xxhash64(x)).alias("long_ids"),
-            F.transform(sm._phrases(F.col("t")), lambda x: F.xxhash64(x)).alias("phrase_ids"),
+        sm.indexed(
+            lists.select(
+                F.monotonically_increasing_id().alias("report"), F.col("t").alias("title_tokens"), F.lit("").alias("category"), F.lit("").alias("scope"),
+                F.transform("t", lambda x: F.xxhash64(x)).alias("context"),
+            )
         )
     )
-    # Titles alone: the context of a bare headline is the headline itself.
-    reports = reports.withColumn("context", F.col("ids"))
     named = cut(heads.join(reports.select("report", F.col("title_tokens").alias("t")), "t").select(key, "us", "report", *scope).distinct())
     pairs, dense = sm.candidate_pairs(reports, named.select("report", "us"), SAME_HOURS, block_rows, dense_rows)
     if dense is not None:
-        pairs = pairs.unionByName(sm._meet(dense, ["t1", "t2", "w"]).select("a", "b")).distinct()
+        pairs = sm.with_dense(pairs, dense, reports)
     similar = sm.score_pairs(pairs, reports).select("a", "b")
     both_ways = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
     same = reports.filter(cu._self_similar()).select(F.col("report").alias("a"), F.col("report").alias("b"))
@@ -234,16 +240,52 @@ def union_event_geography(events: DataFrame, mentions: DataFrame) -> DataFrame:
     return regeo(joined, F.array_distinct(F.concat("affected_countries", rest))).drop("_all")
 
 
+def _absorbed(both: DataFrame, near: DataFrame) -> DataFrame:
+    """(fold, event_key): country events that a global event takes in because it affects their country."""
+    ident = F.array_distinct(F.array_compact(F.array(*[c for c in ("iso2", "country_name") if c in both.columns])))
+    tokens = tx.sorted_tokens(F.col("headline"))
+    wide = cut(both.filter("side = 0").select(F.col("event_key").alias("fold"), "id", tokens.alias("tokens"), F.explode("affected_countries").alias("country")))
+    own = cut(both.filter("side = 1").select("event_key", "id", tokens.alias("tokens"), F.explode(ident).alias("country")))
+    by_id = wide.join(own, ["id", "country"]).select("fold", "event_key")
+    worded = F.size("tokens") > 0
+    by_tokens = wide.filter(worded).join(own.filter(worded), ["tokens", "country"]).select("fold", "event_key")
+    by_report = near.select(F.col("a").alias("fold"), F.col("b").alias("event_key")).join(wide.select("fold", "country"), "fold").join(own.select("event_key", "country"), ["event_key", "country"])
+    return by_id.unionByName(by_tokens).unionByName(by_report.select("fold", "event_key")).distinct()
+
+
 def canonical_event_registry(global_events: DataFrame, country_events: DataFrame) -> DataFrame:
-    """DEDUP-4: global events absorb matching country events, the rest folds in behind.
+    """DEDUP-4: the registry of all views, one row per canonical event, with ``shown`` for the global list.
+
+    Global events are seeds and never merge with each other. Each takes in the events of countries it affects that have
+    its id or describe its occurrence, one country event possibly into several seeds. Then every country event folds
+    into the first entry with its id or occurrence, a seed or an earlier country event, or opens an entry of its own.
+    Pairs are judged on the original events (see ``merge_event_feeds``). Of seeds that share an id the last one is
+    ``shown``; entries that country events opened are not.
 
-    Both inputs carry feed_ord; the result is distinct by id.
+    Both inputs carry feed_ord; global events have affected_countries, country events country_name (and iso2, if known).
     """
     top = global_events.agg(F.coalesce(F.max("feed_ord") + 1, F.lit(0)).alias("m"))
     tail = country_events.join(F.broadcast(top)).withColumn("feed_ord", F.col("feed_ord") + F.col("m")).drop("m")
-    cols = [c for c in global_events.columns if c in tail.columns]
-    merged = merge_event_feeds(global_events.select(cols).unionByName(tail.select(cols)))
-    return first_row(merged, ["id"], [F.col("feed_ord")])
+    own = [c for c in ("country_name", "iso2") if c in tail.columns]
+    cols = [c for c in global_events.columns if c in tail.columns and c not in own]
+    both = global_events.select(*cols, *[F.lit(None).cast("string").alias(c) for c in own], F.lit(0).alias("side")).unionByName(
+        tail.select(*cols, *own, F.lit(1).alias("side"))
+    )
+    both = cut(both.withColumn("event_key", F.col("feed_ord")))
+    found = same_occurrence_pairs(both, star=True).unionByName(_with_first(both, ["id"], "event_key")).distinct()
+    sides = both.select("event_key", "side")
+    pairs = cut(
+        found.join(sides.select(F.col("event_key").alias("a"), F.col("side").alias("side_a")), "a")
+        .join(sides.select(F.col("event_key").alias("b"), F.col("side").alias("side_b")), "b")
+    )
+    # the first of equal ids or tokens may be hidden behind a pair of seeds: then it is the first for both of them
+    folded = cut(_first_fit_groups(both, pairs.filter("side_b = 1").select("a", "b"), "event_key"))
+    more = _absorbed(both, pairs.filter("side_a = 0 and side_b = 1")).join(folded.select("fold", "event_key"), ["fold", "event_key"], "left_anti")
+    members = folded.unionByName(both.join(more, "event_key").select(*folded.columns))
+    merged = merge_events(members, "fold")
+    seeds = both.filter("side = 0").select("id", F.col("event_key").alias("fold"))
+    last = seeds.groupBy("id").agg(F.max("fold").alias("fold")).select("fold", F.lit(True).alias("shown"))
+    return merged.join(last, "fold", "left").withColumn("shown", F.coalesce("shown", F.lit(False))).withColumnRenamed("fold", "feed_ord")
 
 
 # --- coverage of one event ----------------------------------------------------------------
