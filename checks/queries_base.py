@@ -122,6 +122,14 @@ def classify(spark, sf):
     return cl.classify_headlines(c.articles(spark, sf), c.LEX).select("id", "category")
 
 
+@case("agg_classify_by_table", f"{ART} SELECT id, category FROM {_CLASS}")
+def classify_table(spark, sf):
+    """The same lexicon as a table, among one term for every order, which no text holds."""
+    terms = spark.createDataFrame([(k, t) for k, ts_ in c.LEXICON.items() for t in ts_], "category string, term string")
+    orders = c.table(spark, sf, "orders").select(F.lit("Economy").alias("category"), F.format_string("order%d no%d", "o_orderkey", "o_custkey").alias("term"))
+    return cl.classify_by_table(c.articles(spark, sf), cl.prepare_lexicon(terms.unionByName(orders))).select("id", "category")
+
+
 _PARTS = "round(corroboration, 1) AS corroboration, round(reporting_momentum, 1) AS reporting_momentum, round(freshness, 1) AS freshness, round(geographic_reach, 1) AS geographic_reach"
 
 

@@ -218,6 +218,24 @@ def streams(spark, sf):
     return _streams(spark, sf).select("id", "title", "channel_name", "viewer_count", "thumbnail_url")
 
 
+@case("src_renderer_search", f"""WITH {_STREAMS.replace("printf('vid%06d', doc_id // 2)", "printf('vid%06d', doc_id)")} SELECT id, title, channel_name, viewer_count, thumbnail_url FROM streams""")
+def renderer_search(spark, sf):
+    """Records in three nestings: one to a body, many of one source in a list, and deep inside objects and lists."""
+    r = _records(spark, sf).withColumn("videoId", F.format_string("vid%06d", "ord"))
+    record = F.struct(F.struct(*[x for x in r.columns if x != "ord"]).alias("videoRenderer"))
+    k = F.col("ord") % 3
+    one = r.filter(k == 0).select("ord", F.to_json(record).alias("body"))
+    parts = r.filter(k == 1).select(F.floor(F.col("ord") / 40).alias("g"), "ord", F.to_json(record).alias("r")).groupBy("g").agg(
+        F.min("ord").alias("ord"), F.array_join(F.sort_array(F.collect_list("r")), ",").alias("r")
+    )
+    many = parts.select("ord", F.concat(F.lit('{"kind":"x","contents":['), "r", F.lit("]}")).alias("body"))
+    deep = r.filter(k == 2).select("ord", F.to_json(F.struct(F.array(F.array(F.struct(F.struct(F.array(F.lit("no"), F.lit("yes")).alias("plain"), record.alias("b")).alias("a")))).alias("z"), F.lit(1).alias("n"))).alias("body"))
+    path = landing(spark, "bodies")
+    one.unionByName(many).unionByName(deep).write.parquet(path)
+    bodies = spark.read.schema("ord long, body string").parquet(path)
+    return st.search_live_streams(bodies).select("id", "title", "channel_name", "viewer_count", "thumbnail_url")
+
+
 _ROOMSQL = "CASE channel_name " + " ".join(f"WHEN {s.q(n.upper())} THEN {s.q(n)}" for n in _ROOMS) + " END"
 
 
@@ -396,6 +414,17 @@ def world_feed(spark, sf):
     return back.select("ord", "country_name", F.array_join(F.transform("articles", lambda x: x["id"]), ",").alias("ids"), "available")
 
 
+@case("snk_world_pages", f"""{ART}, {s.WIDE}, v AS (SELECT country_name, id, row_number() OVER (PARTITION BY country_name ORDER BY doc_id, id) AS k, count(*) OVER (PARTITION BY country_name) AS total FROM art WHERE NOT {s.non_event('title')})
+ SELECT ord, d.country_name, coalesce((k - 1) // 11, 0) AS page, coalesce(any_value(total), 0) AS total, coalesce(string_agg(id, ',' ORDER BY k), '') AS ids FROM directory d LEFT JOIN v ON v.country_name = d.country_name GROUP BY 1, 2, 3""")
+def world_pages(spark, sf):
+    d = c.wide_directory(spark, sf)
+    rows = fd.world_feed_pages(d, d.select("country_name", F.timestamp_seconds(F.lit(0)).alias("generated_at")), c.articles(spark, sf).withColumn("pos", F.col("doc_id")), page_rows=11)
+    path = landing(spark, "world-pages")
+    st.publish_world_feed(rows, path)
+    back = st.read_world_feed(spark, path, "ord LONG, country_name STRING, page LONG, total LONG, articles ARRAY<STRUCT<id: STRING>>")
+    return back.select("ord", "country_name", "page", "total", F.array_join(F.transform("articles", lambda x: x["id"]), ",").alias("ids"))
+
+
 # --- streaming ----------------------------------------------------------------------------
 @case("stream_articles", f"""{ART}, n AS (SELECT {sql_strip('title')} AS title, id AS guid, date_trunc('second', published_at) AS published_at FROM art)
  SELECT {s.stable_id('guid')} AS id, epoch_us(published_at) AS published_at_us FROM n WHERE title <> '' AND NOT {s.non_event('title')} AND {s.english('title')} AND published_at >= TIMESTAMP '2024-01-10 06:00:00' - INTERVAL 8 DAY""")

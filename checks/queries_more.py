@@ -197,6 +197,15 @@ def documents(spark, sf):
     )
 
 
+@case("agg_event_pages", f"""{ART}, {s.STORIES}, x AS (SELECT event_id, a.id, row_number() OVER (PARTITION BY event_id ORDER BY published_at DESC, a.id DESC) AS pos, count(*) OVER (PARTITION BY event_id) AS total
+   FROM stories s JOIN art a ON a.publisher_name = s.publisher_name AND a.language = s.language)
+ SELECT event_id, (pos - 1) // 5 AS page, any_value(total) AS total, string_agg(id, ',' ORDER BY pos) AS articles FROM x GROUP BY 1, 2""")
+def document_pages(spark, sf):
+    a, src = _doc_parts(spark, sf)
+    d = sv.event_document_pages(c.stories(spark, sf), c.story_bridge(spark, sf), a, src, page_rows=5)
+    return d.select("event_id", "page", "total", F.array_join(F.transform("articles", lambda x: x["id"]), ",").alias("articles"))
+
+
 # --- feeds --------------------------------------------------------------------------------
 @case("rank_top_event_per_country", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.DIRECTORY}
  SELECT country_name, event_id, importance_score FROM directory LEFT JOIN (SELECT * FROM bridge JOIN stories USING (event_id) WHERE active
@@ -240,6 +249,18 @@ def complete(spark, sf):
     )
 
 
+_PAGE = 7
+
+
+@case("join_complete_pages", f"""{ART}, {s.STORIES}, {s.BRIDGE}, {s.WIDE},
+ k AS (SELECT *, row_number() OVER (PARTITION BY country_code {_ORDERED}) AS pos, count(*) OVER (PARTITION BY country_code) AS total FROM stories JOIN bridge USING (event_id))
+ SELECT country_name, coalesce((pos - 1) // {_PAGE}, 0) AS page, coalesce(any_value(total), 0) AS total, greatest(1, coalesce(ceil(any_value(total) / {_PAGE}), 0))::BIGINT AS n_pages,
+   coalesce(string_agg(event_id, ',' ORDER BY pos), '') AS events FROM directory LEFT JOIN k ON country_code = country_name GROUP BY 1, 2""")
+def complete_pages(spark, sf):
+    pages = fd.complete_country_pages(c.wide_directory(spark, sf).select("country_name"), _country_stories(spark, sf), c.AS_OF, page_rows=_PAGE)
+    return pages.select("country_name", "page", "total", "n_pages", F.array_join(F.transform("items", lambda x: x["event_id"]), ",").alias("events"))
+
+
 @case("join_global_events", f"""{ART}, {_FOUND}, x AS (SELECT event_id, unnest(ac) AS ident FROM found)
  SELECT event_id, country_name FROM x JOIN directory ON ident = iso2 OR ident = country_name""")
 def attach(spark, sf):

@@ -4,6 +4,8 @@ The lexicon is a bounded parameter, so it is compiled into array expressions and
 classification of a headline needs no shuffle. A text yields its list of *hits*
 (category, signal, weight); a cluster is classified from the distinct hits of all its
 texts, a set no larger than the lexicon however many articles the cluster has.
+
+A lexicon beyond what fits a plan is a table: stems and word runs of the texts meet its terms in one join.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from newsloom import dims
 from newsloom.functions import text as tx
+from newsloom.session import cut, small_side
 
 # Fixed patterns.
 STRIKE = (
@@ -137,3 +140,43 @@ def classify_groups(texts: DataFrame, key: str, text: str, lexicon: dims.Lexicon
         .agg(F.collect_set("h").alias("_h"))
     )
     return found.select(key, category_of(F.col("_h"), lexicon).alias("category"))
+
+
+# --- the lexicon as a table ---------------------------------------------------------------
+def prepare_lexicon(terms: DataFrame) -> DataFrame:
+    """(category, signal, weight, needle) of (category, term): a stem of weight 1 or a word run of weight 2."""
+    term = F.trim(F.regexp_replace(F.lower(F.col("term")), r"\s+", " "))
+    run = F.trim(F.regexp_replace(F.regexp_replace(term, r"[^\p{L}\p{N}_\s]+", " | "), r"\s+", " "))
+    phrase = term.contains(" ")
+    rows = terms.filter(F.col("category").isNotNull() & (term != "")).select(
+        "category", F.when(phrase, term).otherwise(tx.stem(term)).alias("signal"), F.when(phrase, 2).otherwise(1).alias("weight"),
+        F.when(phrase, run).otherwise(tx.stem(term)).alias("needle"),
+    )
+    return cut(rows.distinct())
+
+
+def classify_by_table(articles: DataFrame, lexicon: DataFrame, text: str = "title", key: str = "id") -> DataFrame:
+    """AGG-2 with a lexicon of any size (``prepare_lexicon``); ``key`` is unique.
+
+    The lexicon is broadcast if it is small when measured, else both sides are shuffled by the term.
+    """
+    found = lexicon.agg(F.collect_set("category").alias("c"), F.max(F.when(F.col("weight") == 2, F.size(F.split("needle", " ")))).alias("n")).first()
+    named = dims.lexicon_from({c: [] for c in sorted(found["c"])})  # categories are the fixed ones, or an error
+    base = articles.select(key, tx.tokens(F.col(text)).alias("_t"), F.split(F.trim(spaced(F.col(text))), " ").alias("_w"))
+    size = F.size("_w")
+
+    def run(n: int):
+        return lambda i: F.struct(F.lit(2).alias("weight"), F.array_join(F.slice("_w", i, n), " ").alias("needle"))
+
+    runs = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), run(n))) for n in range(2, (found["n"] or 1) + 1)]
+    stems = F.transform("_t", lambda t: F.struct(F.lit(1).alias("weight"), t.alias("needle")))
+    none = F.array().cast("array<struct<weight:int,needle:string>>")
+    met = base.select(key, F.inline(F.array_distinct(F.concat(stems, *[F.coalesce(r, none) for r in runs]))))
+    hit = F.struct("category", "signal", "weight")
+    scored = met.join(small_side(lexicon), ["weight", "needle"]).groupBy(key).agg(F.collect_set(hit).alias("_h"))
+    flags = hits(F.col(text), F.col("_t"), named)
+    every = F.concat(flags, F.coalesce("_h", F.array().cast(f"array<{HIT}>")))
+    return (
+        articles.join(scored, key, "left").withColumn("_t", tx.tokens(F.col(text))).withColumn("_h", every)
+        .withColumn("category", category_of(F.col("_h"), named)).drop("_t", "_h")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom import dims
 from newsloom.functions import scoring, text as tx
 from newsloom.operators.countries import filter_relevant_to_country
-from newsloom.operators.grouping import first_row, highest, newest, sliced_row_number, top_rows
+from newsloom.operators.grouping import complete_pages, first_row, highest, newest, paged, sliced_row_number, top_rows
 from newsloom.operators.quality import filter_current, filter_event_titles
 from newsloom.session import ts
 
@@ -84,7 +84,7 @@ def latest_events_per_country(events: DataFrame, k: int | None = 20) -> DataFram
 
 
 def complete_country_feeds(directory: DataFrame, events: DataFrame, generated_at, feeds: DataFrame | None = None) -> DataFrame:
-    """JOIN-12: one row per directory country with its ranked (already bounded) events."""
+    """JOIN-12: one row per directory country with all its ranked events; ``complete_country_pages`` bounds the rows."""
     order = F.struct(highest("importance_score").alias("s"), newest("last_updated_at").alias("t"), F.col("event_id").alias("i"))
     item = F.struct("event_id", "headline", "category", "importance_score", "last_updated_at")
     lists = events.groupBy("country_name").agg(
@@ -99,6 +99,22 @@ def complete_country_feeds(directory: DataFrame, events: DataFrame, generated_at
     return out.withColumn("updated_at", F.coalesce("updated_at", ts(generated_at)))
 
 
+PAGE_ROWS = 200
+
+
+def complete_country_pages(directory: DataFrame, events: DataFrame, generated_at, feeds: DataFrame | None = None, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """JOIN-12 in pages: every directory country with its ranked events, at most ``page_rows`` a row; nothing is cut off."""
+    order = [highest("importance_score"), newest("last_updated_at"), F.col("event_id")]
+    part = F.struct(F.floor(F.coalesce(-F.col("importance_score"), F.lit(1e9))).alias("s"), F.floor(newest("last_updated_at") / 3_600_000_000).alias("h"))
+    item = F.struct("event_id", "headline", "category", "importance_score", "last_updated_at")
+    out = complete_pages(directory, paged(events, ["country_name"], part, order, item, page_rows), ["country_name"])
+    if feeds is not None:
+        out = out.join(feeds.select("country_name", "updated_at"), "country_name", "left")
+    else:
+        out = out.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    return out.withColumn("updated_at", F.coalesce("updated_at", ts(generated_at)))
+
+
 def attach_global_events(events: DataFrame, directory: DataFrame) -> DataFrame:
     """JOIN-13: (country_name, event columns) for each affected country, by ISO-2 or name."""
     ids = directory.select("country_name", F.explode(F.array_distinct(F.array_compact(F.array("iso2", "country_name")))).alias("identifier"))
@@ -226,3 +242,12 @@ def world_feed(directory: DataFrame, feeds: DataFrame, articles: DataFrame, k: i
         "ord", "country_name", F.coalesce("generated_at", F.timestamp_seconds(F.lit(0))).alias("generated_at"),
         F.coalesce("articles", F.array().cast(lists.schema["articles"].dataType)).alias("articles"),
     ).withColumn("available", F.size("articles") > 0).orderBy("ord")
+
+
+def world_feed_pages(directory: DataFrame, feeds: DataFrame, articles: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """SNK-2 rows in pages: every directory country with all its valid articles, at most ``page_rows`` a row."""
+    item = F.struct("id", "title", "url", "publisher_name", "published_at")
+    pages = paged(filter_event_titles(articles), ["country_name"], F.floor(F.col("pos") / 4096), [F.col("pos"), F.col("id")], item, page_rows)
+    heads = directory.select("ord", "country_name").join(feeds.select("country_name", "generated_at"), "country_name", "left")
+    out = complete_pages(heads.withColumn("generated_at", F.coalesce("generated_at", F.timestamp_seconds(F.lit(0)))), pages, ["country_name"])
+    return out.select("ord", "country_name", "generated_at", "page", "n_pages", "total", F.col("items").alias("articles"), (F.col("total") > 0).alias("available"))

@@ -64,3 +64,25 @@ def consecutive(df: DataFrame, keys: list[str], pos: str, slice_rows: int = 4096
     order = Window.partitionBy(*keys).orderBy("_s")
     across = slices.select(F.lag("_last").over(order).alias("a"), F.col("_first").alias("b"))
     return within.unionByName(across).filter("a is not null")
+
+
+def paged(rows: DataFrame, keys: list[str], slice_: Column, order: list[Column], item: Column, page_rows: int) -> DataFrame:
+    """(keys, page from 0, items): the rows of each key in ``order``, at most ``page_rows`` to a page.
+
+    Rows are numbered per slice, so neither a task nor a row ever holds a whole key.
+    """
+    numbered = sliced_row_number(rows, keys, slice_, order, "_at")
+    page = F.floor((F.col("_at") - 1) / page_rows).cast("long")
+    pairs = F.collect_list(F.struct(F.col("_at").alias("at"), item.alias("item")))
+    return numbered.groupBy(*keys, page.alias("page")).agg(F.transform(F.sort_array(pairs), lambda p: p["item"]).alias("items"))
+
+
+def complete_pages(directory: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """``directory`` with the pages of each key and how many items and pages it has; a key without any has one empty page."""
+    totals = pages.groupBy(*keys).agg(F.sum(F.size("items")).cast("long").alias("total"), F.count("*").alias("n_pages"))
+    empty = F.array().cast(pages.schema["items"].dataType)
+    out = directory.join(totals, keys, "left").join(pages, keys, "left")
+    return out.withColumns({
+        "page": F.coalesce("page", F.lit(0).cast("long")), "items": F.coalesce("items", empty),
+        "total": F.coalesce("total", F.lit(0).cast("long")), "n_pages": F.coalesce("n_pages", F.lit(1).cast("long")),
+    })

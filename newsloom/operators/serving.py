@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.grouping import first_row, highest, newest
+from newsloom.operators.grouping import complete_pages, first_row, highest, newest, paged
 from newsloom.session import ts
 
 TIME_RANGES = {"24 hours": 24, "3 days": 72, "7 days": 168}
@@ -90,6 +90,17 @@ def assemble_event_documents(events: DataFrame, bridge: DataFrame, articles: Dat
     })
 
 
+def event_document_pages(events: DataFrame, bridge: DataFrame, articles: DataFrame, sources: DataFrame, page_rows: int = 200) -> DataFrame:
+    """AGG-11 in pages: each event with its country codes and its articles, newest first, at most ``page_rows`` a row."""
+    codes = bridge.groupBy("event_id").agg(F.sort_array(F.collect_set("country_code")).alias("affected_countries"))  # at most the countries
+    item = F.struct("published_at", "id", "headline", "original_url", F.struct("source_id", "publisher_name", "source_url", "prominence_score").alias("source"))
+    rows = articles.join(sources, "source_id")
+    pages = paged(rows, ["event_id"], F.floor(newest("published_at") / 3_600_000_000), [newest("published_at"), F.desc("id")], item, page_rows)
+    out = complete_pages(events.join(codes, "event_id", "left"), pages, ["event_id"])
+    return out.withColumn("affected_countries", F.coalesce("affected_countries", F.array().cast("array<string>"))).withColumnRenamed("items", "articles")
+
+
+
 def breaking_events(global_events: DataFrame, country_top_events: DataFrame, k: int = 10) -> DataFrame:
     """TOP-2: newest global events, or the countries' top events when there are none."""
     some = global_events.limit(1).agg((F.count("*") > 0).alias("_some"))

@@ -11,6 +11,7 @@ from newsloom import schemas
 from newsloom.functions import text as tx
 from newsloom.operators.grouping import first_row
 from newsloom.operators.video import channel_key
+from newsloom.session import cut
 from newsloom.sources.commits import CommitLog
 
 SNAPSHOT_VERSION = 1
@@ -112,6 +113,37 @@ def read_live_stream_records(spark: SparkSession, path: str) -> DataFrame:
     return parse_live_streams(rows)
 
 
+def find_renderers(bodies: DataFrame, ord_: str = "ord", body: str = "body") -> DataFrame:
+    """SRC-7: every renderer record of JSON documents, at whatever depth: (ord, record columns).
+
+    Documents are taken apart level by level as VARIANT, objects and arrays alike; only parts that still name a record
+    are opened further, and the search ends with the level that has none. Within a document later parts come first, as
+    in a search by stack, and a record before those inside it (members of an object in order of their names); ``ord`` is
+    (position of the document, path). A body that is no JSON, or null, has no records.
+    """
+    name = "videoRenderer"
+    level = bodies.select(F.col(ord_).alias("doc"), F.array().cast("array<int>").alias("path"), F.try_parse_json(F.col(body)).alias("v")).filter("v is not null")
+    found = None
+    while True:
+        level = cut(level.filter(F.to_json("v").contains(f'"{name}"')))
+        if level.isEmpty():
+            break
+        inside = level.select("doc", "path", "v").lateralJoin(bodies.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        inside = inside.select("doc", F.col("path").alias("above"), F.concat("path", F.array(-F.col("pos"))).alias("path"), "key", F.col("value").alias("v"))
+        # the record counts where its parent stands
+        records = inside.filter(F.col("key") == name).select("doc", F.col("above").alias("path"), F.from_json(F.to_json("v"), schemas.STREAM_RECORD).alias("r")).filter("r.videoId is not null")
+        found = records if found is None else found.unionByName(records)
+        level = inside.select("doc", "path", "v")
+    if found is None:
+        found = bodies.sparkSession.createDataFrame([], f"doc long, path array<int>, r struct<{schemas.STREAM_RECORD}>")
+    return found.select(F.struct("doc", "path").alias("ord"), "r.*")
+
+
+def search_live_streams(bodies: DataFrame, ord_: str = "ord", body: str = "body") -> DataFrame:
+    """SRC-7 over whole documents: the live streams of all records in them."""
+    return parse_live_streams(find_renderers(bodies, ord_, body))
+
+
 def read_relational_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """SRC-8: the five tables from parquet folders with fixed schemas."""
     return {name: spark.read.schema(s).parquet(f"{root}/{name}") for name, s in schemas.TABLES.items()}
