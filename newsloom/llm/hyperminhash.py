@@ -132,10 +132,22 @@ def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return (equal.sum(axis=1) / count - by_chance) / (1 - by_chance), count
 
 
+def spread(count: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bits: np.ndarray, threshold: float) -> np.ndarray:
+    """Standard error at the threshold of a share of ``count`` registers in use.
+
+    The registers of one permutation draw shingles of the union without putting them back, so with k of them in use and
+    f shingles the variance is below the binomial one by the factor 1 - (k - 1) / (f - 1); permutations are independent.
+    """
+    k = count / (REGISTERS >> bits.astype(np.int64))
+    f = (n_a + n_b) / (1 + threshold)
+    drawn = np.clip(1 - np.maximum(k - 1, 0) / np.maximum(f - 1, 1), 0.25, 1)
+    return np.sqrt(threshold * (1 - threshold) / count * drawn)
+
+
 def near_enough(regs_a, regs_b, n_a, n_b, bits, threshold: float) -> np.ndarray:
     """Whether an estimate is within ``ERRORS`` standard errors of the threshold, or above."""
     value, count = estimate(regs_a, regs_b, n_a, n_b, bits)
-    return value >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / count) - 0.01
+    return value >= threshold - ERRORS * spread(count, n_a, n_b, bits, threshold) - 0.01
 
 
 def fingerprint(values: np.ndarray, n: int) -> bytes:

@@ -457,3 +457,21 @@ def test_near_duplicates_at_other_thresholds(spark):
                     parent = [x if p == y else p for p in parent]
         got = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
         assert [got[k] for k in range(len(rows))] == parent
+
+
+def test_spread_of_estimates():
+    """The standard error holds for many random pairs at a similarity of 0.8, on every level of set sizes."""
+    rng = np.random.default_rng(7)
+    for n in (40, 90, 200, 700, 1500):
+        both, own = round(n * 8 / 9), n - round(n * 8 / 9)  # 0.8 = both / (2n - both)
+        bits = hyperminhash.level(np.array([n]))
+        errors = []
+        for _ in range(120):
+            x = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+            a, b = x[:n], np.concatenate([x[:both], x[n : n + own]])
+            regs = [hyperminhash.registers([np.sort(v)], int(bits[0])) for v in (a, b)]
+            sizes = np.array([n]), np.array([n])
+            value, count = hyperminhash.estimate(*regs, *sizes, bits)
+            truth = both / (2 * n - both)
+            errors.append((value[0] - truth) / hyperminhash.spread(count, *sizes, bits, truth)[0])
+        assert np.std(errors) < 1.2 and np.abs(errors).max() < hyperminhash.ERRORS and abs(np.mean(errors)) < 0.35, (n, np.std(errors), np.mean(errors))
