@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from newsloom.operators.countries import filter_relevant_to_country
 from newsloom.operators.feeds import article_key
@@ -28,9 +29,10 @@ class CountryState:
     def __init__(self, spark: SparkSession, root: str, schema: str, compact_after: int = COMPACT_AFTER, keep: int = KEEP):
         self.spark, self.log, self.compact_after, self.keep = spark, CommitLog(root), compact_after, keep
         self.columns = spark.createDataFrame([], schema).schema
+        self.stored = StructType([f for f in self.columns if f.name != "article_key"] + [StructField("article_key", StringType())])
 
     def _run(self, run: str) -> DataFrame:
-        return self.spark.read.schema(self.columns.add("article_key", "string") if "article_key" not in self.columns.names else self.columns).parquet(self.log.run_path(run))
+        return self.spark.read.schema(self.stored).parquet(self.log.run_path(run))
 
     def _merged(self, runs: list[str]) -> DataFrame:
         rows = None
@@ -54,7 +56,7 @@ class CountryState:
             rows = filter_relevant_to_country(rows.withColumn("broad_feed", F.lit(False)), gazetteer, rules, longest).drop("broad_feed")
         rows = first_row(rows.withColumn("article_key", article_key()), KEYS, [newest("published_at"), F.col("id")])
         run = uuid.uuid4().hex
-        rows.select(*[c for c in self.columns.names if c != "article_key"], "article_key").write.parquet(self.log.run_path(run))
+        rows.select(*self.stored.names).write.parquet(self.log.run_path(run))
         if self._run(run).isEmpty():
             return self.log.latest()[0]
         version = self.log.append(lambda entry: {"runs": [*entry.get("runs", []), run]})
