@@ -313,11 +313,32 @@ def _ordinary(batches):
                 del held[key]
             bound = np.uint64(max(held))
     kept = sorted(held)
+    bound = kept[-1] - (1 << 63) if len(kept) == ORDINARY else (1 << 63) - 1  # up to here the partition has given all it holds
     yield pa.RecordBatch.from_arrays(
-        [pa.array([k - (1 << 63) for k in kept], pa.int64()), pa.array([held[k][0] for k in kept], pa.string()), pa.array([held[k][1] for k in kept], pa.int64())], names=["hash", "token", "texts"]
+        [pa.array([k - (1 << 63) for k in kept], pa.int64()), pa.array([held[k][0] for k in kept], pa.string()), pa.array([held[k][1] for k in kept], pa.int64()), pa.array([bound] * len(kept), pa.int64())],
+        names=["hash", "token", "texts", "bound"],
     )
 
 
+def _smallest(scratch: Scratch, rows: DataFrame) -> list:
+    """The ``ORDINARY`` tokens of all texts with the smallest hashes, with their numbers of texts.
+
+    Hashes are even, so how many lie below the least bound of the partitions tells where the smallest end; little more than
+    those comes to the driver, however many partitions there are.
+    """
+    parts = scratch.table(rows.mapInArrow(_ordinary, "hash long, token string, texts long, bound long"), "tokens")
+    bound = parts.agg(F.min("bound")).first()[0]
+    if bound is None:
+        return []
+    whole = scratch.table(parts.where(F.col("hash") <= bound).groupBy("hash", "token").agg(F.sum("texts").alias("texts")), "counted")
+    scratch.drop(parts)
+    n, width = whole.count(), bound + (1 << 63)
+    cut = bound if n <= 2 * ORDINARY else int(width * 1.5 * ORDINARY / n) - (1 << 63)
+    if whole.where(F.col("hash") <= cut).count() < min(n, ORDINARY):
+        cut = bound
+    return whole.where(F.col("hash") <= cut).orderBy("hash", "token").limit(ORDINARY).collect()
+
+
 def infer(docs: DataFrame) -> tuple[list[tuple], list[tuple]]:
     """Tables of the credential kinds' automata, and of those of ordinary tokens, from all texts."""
     ship(docs.sparkSession)
@@ -332,8 +353,7 @@ def infer(docs: DataFrame) -> tuple[list[tuple], list[tuple]]:
     formats = [(Automaton(by[k]).tables(), by[k]) for k in sorted(by)]
     if not formats:
         return [], []
-    seen = rows.mapInArrow(_ordinary, "hash long, token string, texts long").groupBy("hash", "token").agg(F.sum("texts").alias("texts"))
-    tokens = seen.orderBy("hash", "token").limit(ORDINARY).collect()  # short tokens
+    tokens = _smallest(scratch, rows)  # short ones
     often = [r.token for r in tokens if r.texts >= RECURRING]
     once = [r.token for r in tokens if r.texts < RECURRING]
     for tables, own in formats:

@@ -475,3 +475,22 @@ def test_spread_of_estimates():
             truth = both / (2 * n - both)
             errors.append((value[0] - truth) / hyperminhash.spread(count, *sizes, bits, truth)[0])
         assert np.std(errors) < 1.2 and np.abs(errors).max() < hyperminhash.ERRORS and abs(np.mean(errors)) < 0.35, (n, np.std(errors), np.mean(errors))
+
+
+def test_smallest_tokens_of_all_partitions(spark, monkeypatch):
+    """The sample of ordinary tokens and its counts are the same however the texts are dealt."""
+    from newsloom.llm.runtime import Scratch
+
+    monkeypatch.setattr(secrets, "LEAST", 6)
+    rng = random.Random(5)
+    pool = [f"token{rng.randint(0, 10**9)}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(30))) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    count = {}
+    for _, text in rows:
+        for w in set(text.split()):
+            count[w] = count.get(w, 0) + 1
+    found = [secrets._smallest(Scratch(spark, "small"), table.select("text").repartition(n)) for n in (1, 3, 8)]
+    assert found[0] == found[1] == found[2] and {r.token: r.texts for r in found[0]} == count
+    few = [r.token for r in found[0][:1]]
+    assert few and secrets._smallest(Scratch(spark, "small"), table.select("text").limit(0)) == []
