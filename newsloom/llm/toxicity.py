@@ -1,18 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff.
 
 Words (runs of letters, digits and characters beyond ASCII, A-Z lowered) and word pairs of a bounded sample of labelled
-texts are counted per class. Either class's model takes an absolute discount off its own counts (three per order and class,
+texts are counted per class, a pair once a text. Either class's model takes an absolute discount off its own counts (three per order and class,
 out of its counts of counts) and gives the discounted mass, and ``strength`` times as much as all of its own, to the counts
 of both classes together: of a word that is rare in both, nearly all of the probability is the same in both models and
 cancels, while a word of one class differs however rare it is. A pair backs off to the pooled pair times what its two words say.
 A text's two log-likelihoods, of each word after the one before, are divided by its length and compared.
 
 ``strength`` is chosen out of ``STRENGTHS`` by the area under the curve on one in ``APART`` texts of the sample, which the
-counts leave out; pairs have ``PAIRS`` times as much. On the same texts, weighted to the labels' real proportion, a rising
+counts leave out: the strongest within a standard error of the best; pairs have one of ``PAIRS`` times as much, chosen alike
+(the most leaves nearly what their words say). On the same texts, weighted to the labels' real proportion, a rising
 curve (isotonic regression, interpolated) turns the difference into a score. Nothing is chosen on held-out labels.
 
 The sample: per class the ``SAMPLE`` labelled texts with the smallest hash of their id, in that order until they have
-``SAMPLE_CHARS`` characters. Defined cases: null, empty or wordless text: the score of a difference of zero. Labels that are
+``SAMPLE_CHARS`` characters; pairs are counted on its beginning, up to ``PAIR_CHARS``. Defined cases: null, empty or wordless text: the score of a difference of zero. Labels that are
 null or not 0/1 teach nothing; a doc_id labelled twice counts by its largest label; a null doc_id is scored and teaches
 nothing; repeated rows are scored alike and teach as often as they stand there. With one class only, or none, every text
 gets that class's proportion (0 without labels). An empty table gives no rows; other columns are ignored, whatever their
@@ -21,6 +22,8 @@ names; a text is never cut.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,11 +32,12 @@ from pyspark.sql import functions as F
 from newsloom.llm.runtime import Scratch, ship
 from newsloom.llm.tokens import mix, slices, span_hashes, utf8, word_bounds
 
-SAMPLE = 4000
-SAMPLE_CHARS = 12_000_000
+SAMPLE = 16_000
+SAMPLE_CHARS = 48_000_000
+PAIR_CHARS = 12_000_000
 APART = 4
 STRENGTHS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
-PAIRS = 10.0
+PAIRS = (10.0, 100.0, 1000.0)
 
 _U = np.uint64
 _FIRST = _U(0x51ED270B7F4A7C15)
@@ -57,19 +61,33 @@ def _pairs(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return left, mix(left * _U(0x9FB21C651E98DF25) + hashes)
 
 
-def _count(batches):
+def _distinct(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the words before them, their pairs, and the classes, each pair once a text.
+
+    So neither a very long text nor a repeated line fills a class.
+    """
+    hashes, before = words(batch.column("text"))
+    left, pair = _pairs(hashes, before)
+    owner = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(before))
+    once = np.unique(np.stack([owner, pair], axis=1), axis=0, return_index=True)[1]
+    return hashes[once], left[once], pair[once], batch.column("toxic").to_numpy()[owner[once].astype(np.int64)]
+
+
+def _count_words(batches):
     for batch in slices(batches):
-        hashes, before = words(batch.column("text"))
-        left, pair = _pairs(hashes, before)
-        toxic = np.repeat(batch.column("toxic").to_numpy(), np.diff(before))
-        for value in (0, 1):
-            rows = toxic == value
-            keys, where, n = np.unique(pair[rows], return_index=True, return_counts=True)
-            v, w = left[rows][where], hashes[rows][where]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(np.full(len(keys), value, dtype=np.int32)), pa.array(n.astype(np.int64))],
-                names=["pair", "v", "w", "toxic", "n"],
-            )
+        hashes, _, _, toxic = _distinct(batch)
+        keys, at = np.unique(hashes, return_inverse=True)
+        n = [np.bincount(at[toxic == c], minlength=len(keys)) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], names=["w", "n0", "n1"])
+
+
+def _count_pairs(batches):
+    for batch in slices(batches):
+        hashes, left, pair, toxic = _distinct(batch)
+        keys, where, at = np.unique(pair, return_index=True, return_inverse=True)
+        n = [np.bincount(at[toxic == c], minlength=len(keys)) for c in (0, 1)]
+        sides = (left[where].view(np.int64), hashes[where].view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x) for x in sides), *(pa.array(x.astype(np.int64)) for x in n)], names=["pair", "v", "w", "n0", "n1"])
 
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
@@ -103,11 +121,11 @@ class Model:
         self.strength, self.ratio = strength, [x / shared for x in p]
         self.word = np.log(p[1] / p[0])
 
-    def pair_values(self, v: np.ndarray, w: np.ndarray, n: list[np.ndarray], taken: list[np.ndarray], spared: list[float]) -> np.ndarray:
+    def pair_values(self, v: np.ndarray, w: np.ndarray, n: list[np.ndarray], totals: list[float], taken: list[np.ndarray], spared: list[float], times: float) -> np.ndarray:
         """The difference that each pair's second word makes after its first."""
-        shared = (n[0] + n[1]) / sum(self.totals)
+        shared = (n[0] + n[1]) / sum(totals)
         lower = [shared * _look_up(v, self.words, r, 1.0) * _look_up(w, self.words, r, 1.0) for r in self.ratio]
-        p = smoothed(n, self.totals, taken, spared, lower, PAIRS * self.strength)
+        p = smoothed(n, totals, taken, spared, lower, times * self.strength)
         return np.log(p[1] / p[0]) - _look_up(v, self.words, self.word, 0.0)
 
     def difference(self, hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -139,28 +157,36 @@ def area(x: np.ndarray, y: np.ndarray) -> float:
     return float((np.concatenate([[0], np.cumsum(at)])[rank[good]] + at[rank[good]] / 2).sum() / max(good.sum() * bad.sum(), 1)) if len(below) else 0.5
 
 
+def strongest(areas: list[float], y: np.ndarray) -> int:
+    """The last of ``areas`` that is within a standard error of the largest: in doubt, the stronger backoff."""
+    best = max(areas)
+    error = np.sqrt(best * (1 - best) / max(min((y == 1).sum(), (y == 0).sum()), 1))
+    return max(k for k, a in enumerate(areas) if a >= best - error)
+
+
 def rising_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression by pooling neighbours: places and values of its blocks."""
+    """Isotonic regression by pooling neighbours: both ends and the value of each block; it is straight between blocks."""
     blocks: list[list[float]] = []
     for i in np.argsort(x, kind="stable"):
-        blocks.append([weight[i] * y[i], weight[i], weight[i] * x[i]])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+        blocks.append([weight[i] * y[i], weight[i], x[i], x[i]])
+        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+            ones, total, _, high = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + ones, blocks[-1][1] + total, blocks[-1][2], high]
     table = np.array(blocks)
-    return table[:, 2] / table[:, 1], table[:, 0] / table[:, 1]
+    return table[:, 2:4].ravel(), np.repeat(table[:, 0] / table[:, 1], 2)
 
 
 def _chosen(known: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(text, toxic, apart) of the sample."""
+    """(text, toxic, apart, paired) of the sample."""
     # one top-k per class: each task keeps SAMPLE rows, so no task sorts a whole class
     first, second = (known.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1))
     found = docs.select("doc_id", "text").join(F.broadcast(first.unionByName(second)), "doc_id")  # 2 * SAMPLE ids
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     sizes = found.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("size")).groupBy("doc_id", "toxic").agg(F.sum("size").alias("size"))
-    within = sizes.withColumn("earlier", F.coalesce(F.sum("size").over(order), F.lit(0))).where(f"earlier < {SAMPLE_CHARS}").select("doc_id")
+    within = sizes.withColumn("earlier", F.coalesce(F.sum("size").over(order), F.lit(0))).where(f"earlier < {SAMPLE_CHARS}").select("doc_id", "earlier")
     apart = F.expr(f"pmod(hash(doc_id), {APART}) = 0")
-    return scratch.table(found.join(F.broadcast(within), "doc_id").select("text", "toxic", apart.alias("apart")), "sample")
+    paired = F.col("earlier") < PAIR_CHARS
+    return scratch.table(found.join(F.broadcast(within), "doc_id").select("text", "toxic", apart.alias("apart"), paired.alias("paired")), "sample")
 
 
 def _counts_of_counts(table: DataFrame) -> list[list[int]]:
@@ -188,10 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Model | No
     if len(real) < 2:
         return None, flat
     sample = _chosen(known, docs, scratch)
-    sides = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-    counted = sample.where("not apart").select("text", "toxic").mapInArrow(_count, "pair long, v long, w long, toxic int, n long")
-    pairs = scratch.table(counted.groupBy("pair", "v", "w").agg(*sides), "pairs")
-    each = scratch.table(pairs.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "words")
+    taught, sums = sample.where("not apart"), [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)]
+    pairs = taught.where("paired").select("text", "toxic").mapInArrow(_count_pairs, "pair long, v long, w long, n0 long, n1 long")
+    pairs = scratch.table(pairs.groupBy("pair", "v", "w").agg(*sums), "pairs")
+    each = scratch.table(taught.select("text", "toxic").mapInArrow(_count_words, "w long, n0 long, n1 long").groupBy("w").agg(*sums), "words")
     u = each.toArrow()  # bounded by the sample
     if not u.num_rows:
         return None, flat
@@ -202,16 +228,26 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[Model | No
         model.set_strength(STRENGTHS[len(STRENGTHS) // 2])
     else:
         y, x = tried["toxic"].to_numpy(), np.stack(tried["x"].to_numpy(zero_copy_only=False))
-        model.set_strength(STRENGTHS[int(np.argmax([round(area(x[:, k], y), 4) for k in range(len(STRENGTHS))]))])
+        model.set_strength(STRENGTHS[strongest([area(x[:, k], y) for k in range(len(STRENGTHS))], y)])
     # the pairs are valued where they are; a key and a value of each come to the driver, bounded by the sample
-    taken, spared = _discounted(pairs)
-    values = pairs.mapInArrow(_pair_values(spark.sparkContext.broadcast(model), taken, spared), "pair long, value double").toArrow()
-    keys, value = _u64(values["pair"]), values["value"].to_numpy()
-    del values
-    order = np.argsort(keys)
-    model.pairs, model.pair = keys[order], value[order]
-    scored = sample.where("apart").select("text", "toxic").mapInArrow(_difference(spark.sparkContext.broadcast(model)), "toxic int, x double").toArrow()
-    y, x = scored["toxic"].to_numpy().astype(np.float64), scored["x"].to_numpy()
+    (taken, spared), words_only = _discounted(pairs), spark.sparkContext.broadcast(model)
+    totals = [max(float(x or 0), 1.0) for x in pairs.agg(*sums).first()]
+    found = []
+    for times in PAIRS:
+        values = pairs.mapInArrow(_pair_values(words_only, totals, taken, spared, times), "pair long, value double").toArrow()
+        keys, value = _u64(values["pair"]), values["value"].to_numpy()
+        del values
+        order = np.argsort(keys)
+        tried = copy.copy(model)
+        tried.pairs, tried.pair = keys[order], value[order]
+        sent = spark.sparkContext.broadcast(tried)
+        scored = sample.where("apart").select("text", "toxic").mapInArrow(_difference(sent), "toxic int, x double").toArrow()
+        sent.destroy()
+        y, x = scored["toxic"].to_numpy().astype(np.float64), scored["x"].to_numpy()
+        found.append((area(x, y) if len(y) else 0.0, y, x))
+        if strongest([f[0] for f in found], y) == len(found) - 1:
+            model_kept, kept = tried, (y, x)
+    model, (y, x) = model_kept, kept
     if not len(y) or y.min() == y.max():
         return model, flat
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -222,10 +258,10 @@ def _columns(table, name: str) -> list[np.ndarray]:
     return [table[f"{name}{c}"].to_numpy().astype(np.float64) for c in (0, 1)]
 
 
-def _pair_values(model, taken: list[np.ndarray], spared: list[float]):
+def _pair_values(model, totals: list[float], taken: list[np.ndarray], spared: list[float], times: float):
     def value(batches):
         for batch in batches:
-            found = model.value.pair_values(_u64(batch.column("v")), _u64(batch.column("w")), _columns(batch, "n"), taken, spared)
+            found = model.value.pair_values(_u64(batch.column("v")), _u64(batch.column("w")), _columns(batch, "n"), totals, taken, spared, times)
             yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(found)], names=["pair", "value"])
 
     return value
