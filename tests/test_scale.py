@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from newsloom import dims
 from newsloom.functions import text as tx
-from newsloom.operators import countries as co, geo, merge as mg
+from newsloom.operators import cluster as cu, countries as co, geo, merge as mg, similarity as sm
 
 
 def test_event_coverage_equals_the_rule(spark):
@@ -69,3 +70,34 @@ def test_unwrapped_rings_are_continuous(spark):
     rows = [([(170.0, 0.0), (-170.0, 1.0), (170.0, 2.0), (-175.0, 3.0), (179.0, 4.0)],), ([(1.0, 2.0)],), ([],)]
     got = [[p.lon for p in r.u] for r in spark.createDataFrame(rows, "ring array<struct<lon:double,lat:double>>").select(geo.unwrap(F.col("ring")).alias("u")).collect()]
     assert got == [[170.0, 190.0, 170.0, 185.0, 179.0], [1.0], []]
+
+
+def _reports(spark, rows):
+    df = spark.createDataFrame(rows, "id string, title string, description string, h int").withColumn("published_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600))
+    analysed = sm.analyse(df, dims.lexicon_from({"Sports": ["cup", "goal"], "Health": ["virus", "clinic"]}))
+    reports = sm.reports_of(analysed)
+    return reports, sm.nodes_of(analysed, reports)
+
+
+def test_pairs_in_tiles_equal_those_of_token_blocks(spark):
+    rng = random.Random(4)
+    pool = ["harbor", "bridge", "council", "virus", "clinic", "cup", "goal", "railway", "volcano", "senate", "tunnel", "festival"]
+    say = lambda low, high: " ".join(rng.choices(pool, k=rng.randint(low, high)))
+    rows = [(f"a{i:03d}", say(1, 7), say(0, 9), rng.randint(0, 300)) for i in range(80)]
+    rows += [(f"b{i:03d}", *rows[i % 20][1:3], rng.randint(0, 300)) for i in range(40)]  # copies in several windows
+    reports, nodes = _reports(spark, rows)
+    pairs, dense = sm.candidate_pairs(reports, nodes)
+    assert dense is None
+    want = {(r.a, r.b, bool(r.same_category), r.similarity) for r in sm.score_pairs(pairs, reports).collect()}
+    for tile_rows in (4, 4096):
+        got = [tuple(r) for r in sm.similar_reports(reports, nodes, tile_rows=tile_rows).collect()]
+        assert len(got) == len(want) > 100 and set(got) == want
+
+
+def test_a_dense_group_has_few_edges(spark):
+    """300 texts that all link: the edges between them don't grow with their square, and all get one label."""
+    rows = [(f"a{i:03d}", f"harbor bridge council vote item{i}", "", i % 60) for i in range(300)]
+    reports, nodes = _reports(spark, rows)
+    edges = sm.link_edges(reports, nodes, tile_rows=100)
+    assert edges.count() < 10 * 300
+    assert cu.propagate(edges).select("label").distinct().count() == 1
