@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions import text as tx
 from newsloom.operators.quality import normalize_articles
+from newsloom.session import computed
 
 FLAVOURS = ("publisher", "search", "redirect")
 
@@ -82,7 +83,8 @@ def rss_to_raw(items: DataFrame, flavour: str, publisher_name: str = "", publish
             title.endswith(suffix), F.trim(title.substr(F.lit(1), F.length(title) - F.length(suffix)))
         ).otherwise(title)
     elif flavour == "redirect":
-        url = original_url(F.trim("link"))
+        items = computed(items, "*", original_url(F.trim("link")).alias("_target"))
+        url = F.col("_target")
         name = F.trim(F.regexp_replace(F.coalesce("`News:Source`", F.lit("")), r"(?i)\s+on\s+MSN$", ""))
         site, guid = tx.url_origin(url), F.coalesce(_blank("guid"), url)
     return items.select(

@@ -4,9 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from newsloom import dims
+from newsloom import dims, schemas
 from newsloom.functions import text as tx
-from newsloom.operators import cluster as cu, countries as co, geo, merge as mg, similarity as sm
+from newsloom.operators import cluster as cu, countries as co, geo, merge as mg, quality as ql, similarity as sm
+from newsloom.sources import tables as st
 
 
 def test_event_coverage_equals_the_rule(spark):
@@ -101,3 +102,23 @@ def test_a_dense_group_has_few_edges(spark):
     edges = sm.link_edges(reports, nodes, tile_rows=100)
     assert edges.count() < 10 * 300
     assert cu.propagate(edges).select("label").distinct().count() == 1
+
+
+def test_pictographs_are_told_by_one_comparison_first(spark):
+    points = spark.range(1, 0x20000).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert points.filter(F.col("c").rlike(tx.PICTOGRAPHS) != F.col("c").rlike(tx._PICTOGRAPHS)).isEmpty()
+    display = tx._PICTOGRAPHS[:-1] + r"\x{FE0F}\x{200D}]"
+    assert points.filter(F.col("c").rlike(tx.DISPLAY_MARKS) != F.col("c").rlike(display)).isEmpty()
+
+
+def test_filters_do_not_repeat_what_is_computed(spark):
+    """Titles and texts are cleaned once per row, not again in every condition of a filter below the projection."""
+    raw = spark.createDataFrame([("Storm hits the coast", "https://e.example/a", "E", "2024-01-02", "x")], "title string, url string, publisher_name string, published string, description string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(ql.normalize_articles(raw.repartition(2))).count("<[^>]+>") == 3  # title, description, publisher's name
+    record = spark.createDataFrame([], schemas.STREAM_RECORD + ", ord long").repartition(2)
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation,org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation")
+    try:
+        assert plan(st.parse_live_streams(record)).count("FE0F") == 3  # title, channel, description
+    finally:
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
