@@ -119,6 +119,7 @@ def test_filters_do_not_repeat_what_is_computed(spark):
     record = spark.createDataFrame([], schemas.STREAM_RECORD + ", ord long").repartition(2)
     spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation,org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation")
     try:
-        assert plan(st.parse_live_streams(record)).count("FE0F") == 3  # title, channel, description
+        filters = [x for x in plan(st.parse_live_streams(record)).splitlines() if "Filter" in x]
+        assert filters and not any("FE0F" in x for x in filters)
     finally:
         spark.conf.unset("spark.sql.optimizer.excludedRules")
