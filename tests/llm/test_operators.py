@@ -142,6 +142,44 @@ def test_toxicity_of_rare_expressions(spark):
     assert np.mean([(a >= 0.5) == t for a, t in held]) > 0.9
 
 
+def test_toxicity_whatever_the_length(spark):
+    """One to three toxic words in texts of 4 to 2,000 words, among odd words that stand in toxic and ordinary texts alike."""
+    rng = random.Random(12)
+    plain, odd, vile = [f"word{k}" for k in range(400)], [f"odd{k}" for k in range(20_000)], [f"vile{k}" for k in range(20)]
+    rows, labels = [], []
+    for i in range(1500):
+        bad, n = i % 4 == 0, int(4 * 500 ** rng.random())
+        said = [rng.choice(odd if rng.random() < 0.2 else plain) for _ in range(n)]
+        said += rng.sample(vile, rng.randint(1, 3)) if bad else []
+        rng.shuffle(said)
+        rows.append((i, " ".join(said)))
+        labels.append((i, int(bad)))
+    sizes = {i: len(text.split()) for i, text in rows}
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), id_crc() % 5 != 0).collect()}
+    for short in (True, False):
+        held = [(got[i].predicted, t) for i, t in labels if got[i].held_out and (sizes[i] < 90) == short]
+        assert np.mean([p for p, t in held if t]) > 0.9, short
+        assert np.mean([p for p, t in held if not t]) < 0.05, short
+
+
+def test_toxicity_of_pairs_of_ordinary_words(spark):
+    """Toxic phrases whose words stand in ordinary texts as often, apart from each other."""
+    rng = random.Random(13)
+    plain, phrases = [f"word{k}" for k in range(150)], [(f"one{k}", f"two{k}") for k in range(6)]
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 4 == 0
+        said = [rng.choice(plain) for _ in range(40)]
+        first, second = rng.choice(phrases)
+        said[10:10] = [first, second] if bad else [second, rng.choice(plain), first]
+        rows.append((i, " ".join(said)))
+        labels.append((i, int(bad)))
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), id_crc() % 5 != 0).collect()}
+    held = [(got[i].predicted, t) for i, t in labels if got[i].held_out]
+    assert np.mean([p for p, t in held if t]) > 0.9
+    assert np.mean([p for p, t in held if not t]) < 0.05
+
+
 def test_secrets(docs, empty, spark):
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     r = got[109]
