@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from newsloom import dims, schemas
@@ -123,3 +124,23 @@ def test_filters_do_not_repeat_what_is_computed(spark):
         assert filters and not any("FE0F" in x for x in filters)
     finally:
         spark.conf.unset("spark.sql.optimizer.excludedRules")
+
+
+def test_links_inside_blocks_are_judged_once(spark):
+    """Two blocks with many links are thinned by the links inside either, which are found once per block and not again per pair of blocks."""
+    rows = [(f"a{i:03d}", f"harbor bridge council vote item{i}", "", i % 60) for i in range(120)]
+    reports, nodes = _reports(spark, rows)
+    held = nodes.select("report", F.lit(0).alias("w"), F.lit("").alias("scope"), "node", "us", F.lit(False).alias("several_nodes"))
+    facts = reports.select("report", "category", F.size("ids").alias("n_ids"), F.size("context").alias("n_context"), *sm.LISTS)
+    table = held.join(facts, "report").withColumn("slice", (F.col("report") % 2).cast("int")).toArrow()
+    blocks = [table.filter(pa.array([x == k for x in table["slice"].to_pylist()])) for k in (0, 1)]
+    blobs = [sm._packer()((pa.scalar(0), pa.scalar(k)), b)["rows"][0].as_py() for k, b in enumerate(blocks)]
+    batch = pa.RecordBatch.from_pylist([{"w": 0, "slice": k, "rows": b} for k, b in enumerate(blobs)])
+    Side, similar = sm._tools()
+    left, right = (Side(r["rows"]) for x in sm._inside(72)([batch]) for r in x.to_pylist())
+    calls = []
+    judge = lambda a, b, same, linked: (calls.append(same), similar(a, b, same, linked))[1]
+    own = list(sm._edges(72)(left, left, True, judge))[0]
+    both = list(sm._edges(72)(left, right, False, judge))[0]
+    assert calls == [False]
+    assert 0 < own.num_rows < 10 * 60 and 0 < both.num_rows < 10 * 120
