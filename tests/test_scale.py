@@ -134,8 +134,8 @@ def test_links_inside_blocks_are_judged_once(spark):
     facts = reports.select("report", "category", F.size("ids").alias("n_ids"), F.size("context").alias("n_context"), *sm.LISTS)
     table = held.join(facts, "report").withColumn("slice", (F.col("report") % 2).cast("int")).toArrow()
     blocks = [table.filter(pa.array([x == k for x in table["slice"].to_pylist()])) for k in (0, 1)]
-    blobs = [sm._packer()((pa.scalar(0), pa.scalar(k)), b)["rows"][0].as_py() for k, b in enumerate(blocks)]
-    batch = pa.RecordBatch.from_pylist([{"w": 0, "slice": k, "rows": b} for k, b in enumerate(blobs)])
+    blobs = [sm._packer()((pa.scalar(0), pa.scalar(0), pa.scalar(k)), b)["rows"][0].as_py() for k, b in enumerate(blocks)]
+    batch = pa.RecordBatch.from_pylist([{"bucket": 0, "w": 0, "slice": k, "rows": b} for k, b in enumerate(blobs)])
     Side, similar = sm._tools()
     left, right = (Side(r["rows"]) for x in sm._inside(72)([batch]) for r in x.to_pylist())
     calls = []
@@ -144,3 +144,15 @@ def test_links_inside_blocks_are_judged_once(spark):
     both = list(sm._edges(72)(left, right, False, judge))[0]
     assert calls == [False]
     assert 0 < own.num_rows < 10 * 60 and 0 < both.num_rows < 10 * 120
+
+
+def test_folds_of_a_dense_feed_have_few_edges(spark):
+    """Events that all describe one occurrence get one label from few edges; of two scopes, and of repeated positions, none is lost."""
+    rows = [(i % 290, f"c{i % 2}", "Disaster", f"harbor bridge council vote item{i}", [], i) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_key long, country_name string, category string, headline string, articles array<struct<headline:string>>, h int")
+    events = events.withColumn("last_updated_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600))
+    pairs = mg.same_occurrence_pairs(events, scope=["country_name"])
+    edges = mg.same_occurrence_edges(events, ["country_name"])
+    assert edges.count() < 10 * 300 < pairs.count() and edges.join(pairs, ["a", "b"], "left_anti").isEmpty()
+    labels = lambda e: sorted(tuple(r) for r in cu.propagate(e.select(F.col("a").alias("src"), F.col("b").alias("dst"))).collect())
+    assert labels(edges) == labels(pairs) and {label for _, label in labels(edges)} == {0, 1}
