@@ -156,3 +156,25 @@ def test_folds_of_a_dense_feed_have_few_edges(spark):
     assert edges.count() < 10 * 300 < pairs.count() and edges.join(pairs, ["a", "b"], "left_anti").isEmpty()
     labels = lambda e: sorted(tuple(r) for r in cu.propagate(e.select(F.col("a").alias("src"), F.col("b").alias("dst"))).collect())
     assert labels(edges) == labels(pairs) and {label for _, label in labels(edges)} == {0, 1}
+
+
+def test_covering_articles_are_not_copied_to_every_event(spark, tmp_path):
+    """40 long articles cover 30 events each: what is kept on disk doesn't hold their texts 30 times."""
+    title = "Earthquake destroys historic bridge near Lakewood village"
+    long_text = " ".join(f"word{i}" for i in range(2000)) + "."
+    articles = spark.createDataFrame([(f"a{i}", title, long_text if i else "A short text that is a whole sentence of its own.", f"P{i % 3}", i) for i in range(40)], "id string, title string, description string, publisher_name string, h int")
+    articles = articles.withColumn("published_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 60)).drop("h")
+    nested = ", ".join(f"{c}:{t}" for c, t in [("id", "string"), ("headline", "string"), ("url", "string"), ("image_url", "string"), ("publisher_name", "string"), ("publisher_url", "string"), ("publisher_key", "string"), ("prominence", "int"), ("published_at", "timestamp"), ("category", "string")])
+    events = spark.createDataFrame(
+        [(i, title, "old", "Disaster", [], 1, 1, 5.0, 1, 0.0, 0.0) for i in range(30)],
+        f"event_key long, headline string, summary string, category string, articles array<struct<{nested}>>, independent_source_count long, affected_country_count int, age_hours double, article_count long, coverage_window_hours double, articles_per_hour double",
+    )
+    folder = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        got = mg.enrich_events_with_coverage(events, articles.repartition(2), "2023-11-15 00:00:00", dims.lexicon_from({"Sports": ["cup"]})).collect()
+    finally:
+        if folder:
+            spark.sparkContext.setCheckpointDir(folder.removeprefix("file:"))
+    assert {(r.summary, r.independent_source_count) for r in got} == {("A short text that is a whole sentence of its own.", 3)} and len(got) == 30
+    assert sum(f.stat().st_size for f in tmp_path.rglob("part-*")) < 10 * 40 * len(long_text)
